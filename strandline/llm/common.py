@@ -46,12 +46,18 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Texts go to Python in batches of so many rows: batches are held outside the heap, several at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def arrow_map(df: DataFrame, kernel: Callable[[dict], Iterable[dict]], schema: str, batch_rows: int = 2000) -> DataFrame:
     """Run kernel on every Arrow batch as a dict of Python lists and write the dicts of lists that it yields.
 
     The batch is cut so that at most batch_rows rows are Python objects at a time.
     """
     spark = df.sparkSession
+    small_batches(spark)
     out = pa.schema([(f.name, _arrow(f.dataType)) for f in spark.createDataFrame([], schema).schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,8 +16,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks that a worker remembers; beyond that the memo starts again, which bounds its memory.
-MEMO_CHUNKS = 600_000
+#: Chunks, and pieces of them, that a worker remembers; beyond that the memo starts again, which bounds its memory.
+MEMO_CHUNKS = 250_000
 
 # a blank next to other white space (Python's \s holds every character that the library takes for white space)
 _BLANK_RUN = re.compile(r" \s|\s ")
@@ -91,12 +91,12 @@ class ChunkEncoder:
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self.merger = tiktoken.Encoding(style, pat_str=pattern, mergeable_ranks=piece_ranks(path, style), special_tokens={})
         self.style, self.memo = style, memo
+        self.pieces: dict[str, list[int]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict[str, int] = {}
         self.first: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
         self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
 
     def encode_chunk(self, chunk: str) -> list[int]:
@@ -108,6 +108,8 @@ class ChunkEncoder:
         for piece in _WORD_PIECES.findall(chunk.lower()):
             ids = self.pieces.get(piece)
             if ids is None:
+                if len(self.pieces) > self.memo:
+                    self.pieces.clear()
                 ids = self.pieces[piece] = self.merger._encode_single_piece(piece.encode() + _END)
             out += ids
         return out

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, remove, table
+from .common import fresh_path, remove, small_batches, table
 from .encoders import encoder
 
 #: Ids of a block, ids after which a segment ends, and the longest code.
@@ -113,6 +113,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     other columns may have any name.  An empty table gives files without segments.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ("doc_id", "hash")
     rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").repartitionByRange(partitions, *order).sortWithinPartitions(*order)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import arrow_map, store, table
+from .common import arrow_map, small_batches, store, table
 from .encoders import encoder, word_chunks
 
 #: Characters of text in a block, the unit in which words are counted and joined back; one longer text is a block.
@@ -125,6 +125,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     Null and empty texts have no ids.  Null or repeated doc_ids are rows like others.  Only doc_id and text are read,
     so that other columns may have any name.  An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
