@@ -73,3 +73,20 @@ def _arrow(kind):
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(kind)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "left", salts: int = 64) -> DataFrame:
+    """left joined with right, which has each key once, where one key may hold a third of left.
+
+    Keys of more than a thousandth of left's rows, a thousand at most, are dealt over `salts` by the column spread of
+    left; right repeats them for each salt.  Only these keys are broadcast.  left is read twice, so it should be stored.
+    """
+    from pyspark.sql import functions as F
+
+    n = left.count()
+    hot = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(1000, n // 1000)).select(F.col(key).alias("_hot"))
+    hot = F.broadcast(hot.limit(1000))
+    dealt = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0)).drop("_hot")
+    every = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(every).cast("long")).drop("_hot")
+    return dealt.join(repeated, [key, "_salt"], how).drop("_salt")
