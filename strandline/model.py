@@ -100,3 +100,23 @@ class Settings:
     @property
     def measure_calls(self) -> int:
         return self.location_calls * len(Migration)
+
+
+def to_json(settings: Settings) -> str:
+    """Settings as text, for the project's state."""
+    import json
+    from dataclasses import asdict
+
+    return json.dumps(asdict(settings) | {"transect_type": settings.transect_type.name})
+
+
+def from_json(text: str) -> Settings:
+    import json
+
+    raw = json.loads(text)
+    for name in ("veg1", "veg2", "excluded"):
+        raw[name] = VegType(**raw[name] | {"ids": tuple(raw[name]["ids"])})
+    raw["geometry"] = GridGeometry(**raw["geometry"] | {"origin": tuple(raw["geometry"]["origin"])})
+    for name in ("neighborhoods", "hull_steps", "patch_area_classes_m2"):
+        raw[name] = tuple(raw[name])
+    return Settings(**raw | {"transect_type": TransectType[raw["transect_type"]]})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import grid_queries, measure_queries  # noqa: F401
+from . import grid_queries, measure_queries, study_queries  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

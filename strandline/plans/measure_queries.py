@@ -11,7 +11,8 @@ from ..functions import aggregates as A
 from ..operators import fits, flow, fronts, grid, hull, lines, patches, profile, results, sampling, terrain, zones
 from ..sources import tables as T
 from .base import CELL, DENSITY, R, query, smooth, zone
-from .grid_queries import ABUT, CODES, DOWN, KEYS, RESIDUAL, SLOPE, _mod, aspects, residuals
+from .grid_queries import ABUT, DOWN, KEYS, RESIDUAL, SLOPE, _mod, aspects, residuals
+from .grid_queries import WORK as WORK_SQL
 from .grid_queries import zones as zone_rows
 
 

@@ -192,6 +192,21 @@ def test_settings_are_checked():
             Settings(**bad)
 
 
+def test_settings_survive_as_text():
+    from strandline.model import TransectType, VegType, from_json, to_json
+
+    one = Settings(inhibit=True, transect_type=TransectType.FLOW_PATH, veg1=VegType((489, 490), "class", True))
+    assert from_json(to_json(one)) == one
+
+
+def test_band_points(spark):
+    from strandline.operators import study
+
+    points = spark.createDataFrame([(0, 5.0, 0.9), (0, 5.0, 1.1), (0, -0.1, 0.0), (0, 10.0, 0.0)], "tid int, x double, y double")
+    band = spark.createDataFrame([(0, 0.0, 0.0, 10.0, 0.0)], "tid int, x0 double, y0 double, x1 double, y1 double")
+    assert sorted((r.x, r.y) for r in study.in_band(points, band, 2.0).collect()) == [(5.0, 0.9), (10.0, 0.0)]
+
+
 def test_append_rows_refuses_nested_columns(spark, tmp_path):
     T.append_rows(spark.createDataFrame([(1, 2.0)], "a int, b double"), f"{tmp_path}/out")
     T.append_rows(spark.createDataFrame([(3, 4.0)], "a int, b double"), f"{tmp_path}/out")
