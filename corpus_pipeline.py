@@ -26,25 +26,21 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the lines that many documents hold; n_chars follows the text."""
-    kept = dedup_lines(docs).where("n_dropped > 0").groupBy(F.col("doc_id").alias("kept_id"))
-    # rows of one doc_id with different texts have different rests: each takes the one of its own text
-    texts = kept.agg(F.count("*").alias("rows"), F.first("text").alias("kept_text"))
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        joined = docs.join(texts.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left")
-        text = F.when(F.col("rows").isNull(), F.col("text")).otherwise(F.col("kept_text"))
-        out = joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))
-    else:
-        raise ValueError("documents have repeated doc_ids")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out
+    """Texts lose the lines that many documents hold; n_chars follows the text where it has lost any, null texts stay null."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    marked = docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("no_text"), *others).alias("others"))
+    found = dedup_lines(marked, carry=("others",)).select("doc_id", "n_dropped", "text", "carried.others.*")
+    values = {"text": F.when(~F.col("no_text"), F.col("text")), "n_chars": F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))}
+    return found.select(*(values[c].alias(c) if c in values else F.col(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document of the smallest doc_id stays."""
-    found = jaccard_components(docs).where("component_id <> doc_id").select("doc_id")
-    return _keep(docs, found, "left_anti")
+    """Of each component of near duplicates the document of the smallest doc_id stays; rows without doc_id stay.
+
+    Rows of one doc_id are one document here: they go if none of them is the smallest of its component.
+    """
+    found = jaccard_components(docs).groupBy("doc_id").agg(F.bool_and(F.col("component_id") != F.col("doc_id")).alias("goes")).where("goes")
+    return _keep(docs, found.select("doc_id"), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

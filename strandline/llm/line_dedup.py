@@ -12,8 +12,8 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(ASCII_SPACE)), UPPER, LOWER)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """Per document: doc_id, n_lines, n_dropped and text, the lines that stay.
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, n_lines, n_dropped and text, the lines that stay; carried, a struct of the columns in carry.
 
     Every line has a key: the line without ASCII white space at its ends and with A-Z in lower case.  Keys are hashed
     (128 bits), and the documents of each hash are counted.  A key of at least min_chars code points that at least
@@ -25,7 +25,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     are read, so that other columns may have any name.  An empty table gives an empty result.
     """
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    rows = docs.select("doc_id", split.alias("lines"))
+    rows = docs.select("doc_id", split.alias("lines"), *([F.struct(*carry).alias("carried")] if carry else []))
     long_keys = F.filter(F.transform("lines", line_key), lambda k: F.char_length(k) >= min_chars)
     hashes = F.array_distinct(F.transform(long_keys, F.md5))
     held = rows.select("doc_id", F.explode(hashes).alias("hash")).distinct()
@@ -44,8 +44,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
         return (F.char_length(key) < min_chars) | ~F.array_contains("lost", F.md5(key))
 
     kept = F.when(F.col("lost").isNull(), F.col("lines")).otherwise(F.filter("lines", stays))
-    return with_lost.select("doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept")).select(
-        "doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text")
+    more = ["carried"] if carry else []
+    return with_lost.select("doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"), *more).select(
+        "doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"), *more
     )
 
 

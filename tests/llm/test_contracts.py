@@ -333,6 +333,22 @@ def test_pipeline(spark):
     assert found.items() <= want.items() and len(want) - len(found) <= 1 + 0.02 * len(want)
 
 
+def test_stages_take_awkward_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    odd = [(None, None, "en", None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "a b c d e f", None, "s", 11), (2, "g h i j k l", None, "s", 11), (3, "a b c d e f", "en", "s", 11), (None, "a b c d e f", "en", "s", 11)]
+    odd += [(10 + i, f"{SHARED}\nline {i}", "en", "s", 90) for i in range(6)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and stage(spark, docs.limit(0), DATA).count() == 0
+        if name == "line_dedup":
+            rows = [tuple(r) for r in out.collect()]
+            assert len(rows) == len(odd) and (15, f"{SHARED}\nline 5", "en", "s", 90) in rows and (14, "line 4", "en", "s", 6) in rows and (None, None, "en", None, None) in rows
+        if name == "jaccard_join":
+            assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted([None, None, 1, 1, 2, 2, 10], key=repr)
+
+
 def test_stages_keep_the_columns_of_documents(spark):
     import corpus_pipeline
 
