@@ -86,7 +86,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: s
     n = left.count()
     hot = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(1000, n // 1000)).select(F.col(key).alias("_hot"))
     hot = F.broadcast(hot.limit(1000))
-    dealt = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0)).drop("_hot")
+    dealt = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0).cast("long")).drop("_hot")
     every = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(every).cast("long")).drop("_hot")
+    repeated = right.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(every.cast("array<long>"))).drop("_hot")
     return dealt.join(repeated, [key, "_salt"], how).drop("_salt")

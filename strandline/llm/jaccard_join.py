@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, store, table
+from .common import salted_join, small_batches, store, table
 from .graph import components
 
 #: Shingles of a search task; the words a worker remembers; the frequent shingles that are put last; bits of the filter.
 TASK_SHINGLES, MEMO_WORDS, FREQUENT, FILTER_BITS = 1 << 20, 1 << 20, 1 << 17, 1 << 24
-#: Lists of frequent shingles are dealt out by so many salts.
-SALTS = 64
+#: Lists of frequent shingles are dealt out by so many salts; lists of so many members at most are paired.
+SALTS, SHORT = 64, 16
 
 
 class _WordHashes(dict):
@@ -39,6 +39,8 @@ class _WordHashes(dict):
 _WORD_HASHES = _WordHashes()
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
+#: Odd factors of the places in a shingle, powers of the 64-bit golden ratio.
+_FACTORS = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -60,8 +62,9 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     n = min(size, len(words))
     total = np.full(len(words) - n + 1, n, np.uint64)
     for i in range(n):
-        total = _mix(total ^ h[i : i + len(total)]) + np.uint64(i + 1)
-    return np.unique(_mix(total))
+        total += h[i : i + len(total)] * np.uint64(_FACTORS[i])
+    total = np.sort(_mix(total))
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 def _node(found: np.ndarray) -> int:
@@ -267,11 +270,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
     # copies in several partitions may have brought a row several times
     together = rows.withColumn("low", F.min("node").over(lists)).withColumn("high", F.max("node").over(lists))
     shared = store(together.where("low <> high or salt > 0").select("hash", "salt", "node", "share").distinct(), "jaccard-prefixes")
-    able = shared.groupBy("node").agg(F.count("*").alias("n"), F.max("share").alias("least")).where("n >= least").select("node")
-    left = shared.join(able, "node").select("hash", "salt", "node").withColumn("hub", F.min("node").over(lists))
-    hubs = left.where("salt > 0 and node = hub").select("hash", "node").withColumn("hub", F.min("node").over(Window.partitionBy("hash")))
-    candidates = left.select(F.col("hub").alias("a"), F.col("node").alias("b")).union(hubs.select("hub", "node")).where("a <> b")
-    cluster_of = components(candidates)
+    cluster_of = components(_candidates(shared))
 
     sizes = documents.where("node is not null").select("node", "n").distinct()
     members = store(cluster_of.join(sizes, "node").select("node", "n", F.col("component").alias("cluster")), "jaccard-members")
@@ -279,10 +278,35 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
     links = _search(members, sets, percent)
     component = components(links)
 
-    labelled = documents.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = salted_join(documents, component, "node", "doc_id").withColumn("component", F.coalesce("component", "node"))
+    labelled = store(labelled, "jaccard-labelled")
     least = labelled.where("node is not null").groupBy("component").agg(F.min("doc_id").alias("least_id"))
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least_id"))
-    return labelled.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return salted_join(labelled, least, "component", "doc_id").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def _candidates(shared: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all sets that can reach the threshold, of prefix rows (hash, salt, node, share).
+
+    A set needs `share` common prefix shingles with one partner.  Lists of at most SHORT members are paired and the
+    pairs counted; a pair must reach its share, together with the shingles that both have in longer lists.  Sets that
+    may reach it by longer lists alone are linked to the least member of each of these: as many edges as members.
+    """
+    lists = Window.partitionBy("hash", "salt")
+    able = shared.groupBy("node").agg(F.count("*").alias("n"), F.max("share").alias("least")).where("n >= least").select("node")
+    left = shared.join(able, "node").withColumn("size", F.count("*").over(lists)).where("size > 1 or salt > 0")
+    left = store(left.withColumn("long", (F.col("size") > SHORT) | (F.col("salt") > 0)).drop("size"), "jaccard-lists")
+
+    of_node = left.groupBy("node").agg(F.count(F.when(F.col("long"), 1)).alias("n_long"), F.max("share").alias("share"))
+    of = lambda x: of_node.select(F.col("node").alias(x), F.col("n_long").alias(f"{x}_long"), F.col("share").alias(f"{x}_share"))
+    short = left.where("not long")
+    pairs = short.select("hash", F.col("node").alias("a")).join(short.select("hash", F.col("node").alias("b")), "hash").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    pairs = pairs.join(of("a"), "a").join(of("b"), "b").where("n + least(a_long, b_long) >= greatest(a_share, b_share)").select("a", "b")
+
+    often = left.where("long").join(of_node.where("n_long >= share").select("node"), "node").withColumn("hub", F.min("node").over(lists))
+    hubs = often.where("salt > 0 and node = hub").select("hash", "node").withColumn("hub", F.min("node").over(Window.partitionBy("hash")))
+    stars = often.select(F.col("hub").alias("a"), F.col("node").alias("b")).union(hubs.select("hub", "node")).where("a <> b")
+    return pairs.union(stars)
 
 
 def _sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
