@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -15,7 +17,8 @@ from .common import arrow_map, table
 
 #: Bytes of benchmark text in one index; larger benchmarks are split into several.
 INDEX_BYTES = 32 << 20
-BLOCK = 64
+#: Items of a block, the unit of the bounds, and passages whose bounds are held at a time.
+BLOCK, PASSAGES = 8, 256
 
 
 def words(text: str | None) -> list[bytes]:
@@ -47,7 +50,6 @@ class Item:
 class Posting:
     items: list[int] = field(default_factory=list)
     impacts: list[float] = field(default_factory=list)
-    block_max: list[float] = field(default_factory=list)
     most: float = 0.0
 
 
@@ -70,93 +72,99 @@ class BM25Index:
             for w, x in own[-1].items():
                 self.postings[w].items.append(n)
                 self.postings[w].impacts.append(x)
-        for p in self.postings.values():
-            p.block_max = [max(p.impacts[i : i + BLOCK]) for i in range(0, len(p.impacts), BLOCK)]
-            p.most = max(p.block_max)
         self.postings = dict(self.postings)
-        # light words: for no item do they add up to half the threshold, so that no passage reaches it without others
-        light: set[bytes] = set()
-        room = [threshold / 2] * len(own)
-        for w in sorted(self.postings, key=lambda w: -df[w]):
-            p = self.postings[w]
-            if all(x < room[n] for n, x in zip(p.items, p.impacts, strict=True)):
-                light.add(w)
-                for n, x in zip(p.items, p.impacts, strict=True):
-                    room[n] -= x
-        self.heavy = {w: p.most for w, p in self.postings.items() if w not in light}
+        self.term = {w: k for k, w in enumerate(self.postings)}
+        # of every word the blocks that hold it, and the most that it brings to an item there
+        self.n_blocks = -(-len(self.items) // BLOCK)
+        blocks, most, sizes = [], [], []
+        for p in self.postings.values():
+            p.most = max(p.impacts)
+            of_block: dict[int, float] = {}
+            for n, x in zip(p.items, p.impacts, strict=True):
+                of_block[n // BLOCK] = max(of_block.get(n // BLOCK, 0.0), x)
+            blocks += of_block.keys()
+            most += of_block.values()
+            sizes.append(len(of_block))
+        self.blocks, self.block_most, self.block_sizes = np.array(blocks, np.int64), np.array(most), np.array(sizes, np.int64)
+        self.block_starts = np.cumsum(self.block_sizes) - self.block_sizes
         #: Passages are twice as long as the longest item, and start each half of that: each place for an item is whole in one.
         self.half = max([32, *(len(x.found) for x in self.items)])
 
-    def search(self, passage: list[bytes]) -> list[tuple[int, float]]:
-        """Block-max WAND: every item whose score reaches the threshold, in ascending order."""
+    def bounds(self, found: list[bytes], start: int, n: int) -> np.ndarray:
+        """For n passages from `start` (in halves) on: the most that an item of each block can score."""
+        half = self.half
+        ids = np.fromiter(map(self.term.get, found[start * half : (start + n + 1) * half], repeat(-1)), np.int64)
+        at = np.nonzero(ids >= 0)[0]
+        m = max(1, len(self.term))
+        held = np.unique(at // half * m + ids[at])  # words of each half, once
+        part, ids = held // m, held % m
+        # a passage has two halves; a word in both counts once
+        both = np.unique(np.concatenate([part[part < n] * m + ids[part < n], (part[part > 0] - 1) * m + ids[part > 0]]))
+        part, ids = both // m, both % m
+        sizes = self.block_sizes[ids]
+        ends = np.cumsum(sizes)
+        where = np.repeat(self.block_starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        keys = np.repeat(part, sizes) * self.n_blocks + self.blocks[where]
+        return np.bincount(keys, self.block_most[where], minlength=n * self.n_blocks).reshape(n, self.n_blocks)
+
+    def search(self, passage: list[bytes], able: list[int] | None = None) -> list[tuple[int, float]]:
+        """Block-max WAND: every item whose score reaches the threshold, in ascending order.
+
+        able are the blocks whose bound for this passage reaches it; all others are skipped.
+        """
         lists = [[self.postings[w], 0] for w in dict.fromkeys(passage) if w in self.postings]
-        out = []
-        end = len(self.items)
-        item = lambda c: c[0].items[c[1]] if c[1] < len(c[0].items) else end
-        lists.sort(key=item)
-        while lists:
-            bound, pivot = 0.0, -1
-            for i, c in enumerate(lists):
-                bound += c[0].most
-                if bound >= self.threshold:
-                    pivot = i
+        out: list[tuple[int, float]] = []
+        for block in range(self.n_blocks) if able is None else able:
+            end = min(len(self.items), (block + 1) * BLOCK)
+            for c in lists:
+                self._seek(c, block * BLOCK)
+            here = [c for c in lists if c[1] < len(c[0].items) and c[0].items[c[1]] < end]
+            while here:
+                here.sort(key=lambda c: c[0].items[c[1]])
+                # the pivot: before its item no list's most reaches the threshold
+                bound, pivot = 0.0, -1
+                for i, c in enumerate(here):
+                    bound += c[0].most
+                    if bound >= self.threshold:
+                        pivot = i
+                        break
+                if pivot < 0:
                     break
-            if pivot < 0:
-                break
-            at = item(lists[pivot])
-            if at >= end:
-                break
-            while pivot + 1 < len(lists) and item(lists[pivot + 1]) == at:
-                pivot += 1
-            # the blocks that hold the pivot item, or would
-            upper, beyond = 0.0, end
-            for c in lists[: pivot + 1]:
-                p, block = c[0], c[1] // BLOCK
-                while block < len(p.block_max) and p.items[min(len(p.items), (block + 1) * BLOCK) - 1] < at:
-                    block += 1
-                if block < len(p.block_max):
-                    upper += p.block_max[block]
-                    beyond = min(beyond, p.items[min(len(p.items), (block + 1) * BLOCK) - 1] + 1)
-            if upper < self.threshold:
-                target = max(at + 1, min(beyond, item(lists[pivot + 1]) if pivot + 1 < len(lists) else end))
-            else:
+                at = here[pivot][0].items[here[pivot][1]]
                 score = 0.0
-                for c in lists[: pivot + 1]:
+                for c in here:
                     self._seek(c, at)
-                    if item(c) == at:
-                        score += c[0].impacts[c[1]]
+                    p, i = c
+                    if i < len(p.items) and p.items[i] == at:
+                        score += p.impacts[i]
+                        c[1] += 1
                 if score >= self.threshold:
                     out.append((at, score))
-                target = at + 1
-            for c in lists[: pivot + 1]:
-                self._seek(c, target)
-            lists = [c for c in lists if c[1] < len(c[0].items)]
-            lists.sort(key=item)
+                here = [c for c in here if c[1] < len(c[0].items) and c[0].items[c[1]] < end]
         return out
 
     @staticmethod
     def _seek(cursor: list, item: int) -> None:
-        from bisect import bisect_left
-
         cursor[1] = bisect_left(cursor[0].items, item, cursor[1])
 
-    def passages(self, found: list[bytes]) -> list[tuple[int, int]]:
-        """The passages that could reach the threshold: their heavy words bring at least half of it."""
-        if self.heavy.keys().isdisjoint(found):
-            return []
-        sums = np.concatenate([[0.0], np.cumsum(np.fromiter(map(self.heavy.get, found, repeat(0.0)), float, len(found)))])
-        starts = np.arange(0, max(1, len(found) - self.half), self.half)
-        ends = np.minimum(starts + 2 * self.half, len(found))
-        able = sums[ends] - sums[starts] >= self.threshold / 2 - 1e-9
-        return list(zip(starts[able].tolist(), ends[able].tolist(), strict=True))
+    def passages(self, found: list[bytes]) -> Iterator[tuple[int, int, list[int]]]:
+        """start, end and able blocks of every passage that could reach the threshold."""
+        if not self.items or self.term.keys().isdisjoint(found):
+            return
+        total = max(1, -(-len(found) // self.half) - 1)
+        for first in range(0, total, PASSAGES):
+            bounds = self.bounds(found, first, min(PASSAGES, total - first))
+            for i in np.nonzero(bounds.max(axis=1) >= self.threshold - 1e-9)[0].tolist():
+                begin = (first + i) * self.half
+                yield begin, min(len(found), begin + 2 * self.half), np.nonzero(bounds[i] >= self.threshold - 1e-9)[0].tolist()
 
     def leaks(self, text: str | None, shingle: int, overlap: float, answer_overlap: float) -> list[tuple[int, float, float, float]]:
         """(item_id, score, question overlap, answer overlap) of every item that a passage of the text gives away."""
         found = words(text)
         best: dict[int, tuple[float, float, float]] = {}
-        for start, end in self.passages(found):
+        for start, end, able in self.passages(found):
             passage = found[start:end]
-            hits = self.search(passage)
+            hits = self.search(passage, able)
             if not hits:
                 continue
             there = {size: shingles(passage, size) for size in {min(shingle, len(self.items[n].found)) for n, _ in hits}}
