@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh_path, store, table
+from .common import arrow_map, fresh_path, salted_join, store, table
 from .encoders import encoder
 
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens long"
@@ -57,7 +57,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     counted.write.mode("append").parquet(cache_path)
 
     counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", "digest")
+    return salted_join(keyed, counts, "digest", "doc_id").select("doc_id", "n_bytes", "n_tokens", "digest")
 
 
 def query(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
