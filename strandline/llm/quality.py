@@ -132,9 +132,14 @@ def fit(training: DataFrame, n_features: int = 256, width: float = 4.0, ridge: f
     total = sums(training, normal, m * m + m)
     weights = np.linalg.solve(total[: m * m].reshape(m, m) + ridge * n * np.eye(m) / n_features, total[m * m :])
     model = QualityModel(**{**model.__dict__, "weights": weights})
-    rows = training.collect()
-    scored = model.ridge_scores(np.array([r.statistics for r in rows]))
-    return QualityModel(**{**model.__dict__, "knots": isotonic(scored, np.array([r.label for r in rows]))})
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(model.ridge_scores(np.array(b.column(0).to_pylist()))), b.column(1)], ["score", "label"])
+
+    rows = np.array(training.mapInArrow(scored, "score double, label double").collect())
+    return QualityModel(**{**model.__dict__, "knots": isotonic(rows[:, 0], rows[:, 1])})
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.7, **fitting) -> DataFrame:
