@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import arrow_map, small_batches, store, table
+from .common import small_batches, table
 from .encoders import encoder, word_chunks
 
 #: Characters of text in a block, the unit in which words are counted and joined back; one longer text is a block.
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 8 << 20
 #: Between a letter or digit and one of these the vocabulary always parts two words.
 _INNER_CUT = re.compile(r"(?<=[^\W_])(?=[.,;:!?*#$%&()])")
 
@@ -105,6 +105,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Block]]:
 
 
 PAYLOAD = "block long, doc_ids array<long>, lengths array<int>, n_words int, stream binary, n_chunks int, sizes binary, n_parts int, parts binary"
+_WORDS_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("places", pa.binary()), ("size", pa.int32()), ("words", pa.binary())])
+_IDS_ARROW = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("places", pa.binary()), ("sizes", pa.binary()), ("n_ids", pa.int32()), ("ids", pa.binary())])
 _PAYLOAD_ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("n_words", pa.int32()), ("stream", pa.binary()), ("n_chunks", pa.int32()), ("sizes", pa.binary()), ("n_parts", pa.int32()), ("parts", pa.binary())])
 
 
@@ -118,9 +120,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Per document: doc_id and ids (array<int>), as the tokenizer gives them, without special tokens of its own.
 
     Texts are split into words, which the vocabulary encodes independently.  The distinct words of every block of
-    documents are a row each; their distinct words in turn are encoded, each one once, and joined back.  A block then
-    puts the ids at the positions of its words.  What is shuffled is a block's few distinct words and, compressed, the
-    positions: neither texts nor a row for each word.
+    documents go to buckets by hash, a compressed row for each bucket of a block.  There the distinct words of all
+    blocks are encoded, each one once, and the ids go back to the blocks, which put them at the positions of their
+    words.  What is shuffled is the blocks' few distinct words and, compressed, the positions: neither texts nor a row
+    for each word.  With many more partitions, blocks should be larger, lest a bucket has but few of a block's words.
 
     Null and empty texts have no ids.  Null or repeated doc_ids are rows like others.  Only doc_id and text are read,
     so that other columns may have any name.  An empty table gives an empty result.
@@ -128,35 +131,61 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
 
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = 2 * partitions
+
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, block in _blocks(batches):
-            n = len(block.words)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key, np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(block.words), pa.string())], ["block", "place", "word"])
+            words = list(block.words)
+            bucket = np.fromiter((xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) % n_buckets for w in words), np.int64, len(words))
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            rows = []
+            for i in range(n_buckets):
+                places = order[edges[i] : edges[i + 1]]
+                if len(places):
+                    text = "\n".join([words[k] for k in places]).encode("utf-8", "surrogatepass")  # no word has a line feed
+                    rows.append({"block": key, "bucket": i, "n": len(places), "places": _planes(places), "size": len(text), "words": pa.compress(text, "zstd", asbytes=True)})
+            yield pa.RecordBatch.from_pylist(rows, schema=_WORDS_ARROW)
 
     def payload_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, block in _blocks(batches):
             row = {"block": key, **block.payload()}
             yield pa.RecordBatch.from_pylist([row], schema=_PAYLOAD_ARROW)
 
-    def encode(cols: dict):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table_of: dict[str, list[int]] = {}  # the distinct words of this partition's buckets
         of = encoder(tokenizer_path, "word")
-        yield {"encoded": cols["encoded"], "ids": [np.array(of.encode_chunk(w), "<u4").tobytes() for w in cols["encoded"]]}
-
-    words = store(docs.mapInArrow(words_of, "block long, place int, word string"), "bpe-words")
-    distinct = arrow_map(words.select(F.col("word").alias("encoded")).distinct(), encode, "encoded string, ids binary")
-    known = words.join(distinct, F.col("word") == F.col("encoded")).select("block", "place", "ids")
+        for b in batches:
+            for row in b.to_pylist():
+                words = pa.decompress(row["words"], row["size"], "zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\n")
+                for w in words:
+                    if w not in table_of:
+                        table_of[w] = of.encode_chunk(w)
+                ids = [table_of[w] for w in words]
+                flat = np.array([i for x in ids for i in x], np.int64)
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                out = {"block": row["block"], "n": row["n"], "places": row["places"], "sizes": _planes(sizes), "n_ids": len(flat), "ids": _planes(flat)}
+                yield pa.RecordBatch.from_pylist([out], schema=_IDS_ARROW)
+
+    words = docs.mapInArrow(words_of, "block long, bucket int, n int, places binary, size int, words binary").repartition(partitions, "bucket")
+    known = words.mapInArrow(encode, "block long, n int, places binary, sizes binary, n_ids int, ids binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            if right.num_rows != row["n_words"]:
-                raise RuntimeError(f"a block has {row['n_words']} words but finds {right.num_rows}: its documents were read in another order")
-            raw = right.column("ids").combine_chunks()
-            order = np.argsort(right.column("place").to_numpy())
-            sizes = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)[order] // 4
-            flat = np.frombuffer(b"".join(raw.take(pa.array(order)).to_pylist()), "<u4")
-            starts = np.cumsum(sizes) - sizes
-            part_sizes, parts = _unplanes(row["sizes"], row["n_chunks"]), _unplanes(row["parts"], row["n_parts"])
+            starts, sizes, found = np.zeros(row["n_words"], np.int64), np.full(row["n_words"], -1), [np.zeros(0, np.int64)]
+            used = 0
+            for x in right.to_pylist():
+                places, of_word = _unplanes(x["places"], x["n"]), _unplanes(x["sizes"], x["n"])
+                if len(places) and places.max() >= len(sizes):
+                    break
+                sizes[places], starts[places] = of_word, used + np.cumsum(of_word) - of_word
+                found.append(_unplanes(x["ids"], x["n_ids"]))
+                used += x["n_ids"]
+            if (sizes < 0).any() or sum(right.column("n").to_pylist()) != row["n_words"]:
+                raise RuntimeError("a block doesn't find its words: its documents were read in another order")
+            flat, part_sizes, parts = np.concatenate(found), _unplanes(row["sizes"], row["n_chunks"]), _unplanes(row["parts"], row["n_parts"])
             # ids of each distinct chunk, then of each document
             chunk_flat = flat[_ragged(starts[parts], sizes[parts])] if len(parts) else flat[:0]
             part_ends = np.concatenate([[0], np.cumsum(sizes[parts])]) if len(parts) else np.zeros(1, np.int64)
