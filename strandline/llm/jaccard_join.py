@@ -23,7 +23,7 @@ from .common import salted_join, small_batches, store, table
 from .graph import components
 
 #: Shingles of a search task; the words a worker remembers; the frequent shingles that are put last; bits of the filter.
-TASK_SHINGLES, MEMO_WORDS, FREQUENT, FILTER_BITS = 1 << 20, 1 << 20, 1 << 17, 1 << 24
+TASK_SHINGLES, MEMO_WORDS, FREQUENT, FILTER_BITS = 1 << 20, 1 << 18, 1 << 17, 1 << 24
 #: Lists of frequent shingles are dealt out by so many salts; lists of so many members at most are paired.
 SALTS, SHORT = 64, 16
 
