@@ -16,8 +16,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks, and pieces of them, that a worker remembers; beyond that the memo starts again, which bounds its memory.
-MEMO_CHUNKS = 250_000
+#: Chunks, and pieces of them, that a worker remembers; beyond that it forgets those of a single text, which bounds its memory.
+MEMO_CHUNKS = 300_000
 
 # a blank next to other white space (Python's \s holds every character that the library takes for white space)
 _BLANK_RUN = re.compile(r" \s|\s ")
@@ -46,6 +46,8 @@ def byte_chunks(text: str) -> list[str]:
 _LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 _PLAIN = re.compile(f"[\\x00-\\x7f{_LATIN}]*")
 _WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^\\t-\\r a-z{_LATIN}0-9]+")
+#: A run so long that rank merging, whose time grows with its square, is left to the other library.
+_LONG_RUN = re.compile(r"\S{1000}|\s{1000}")
 #: Stands for the word end; UTF-8 has no such byte.
 _END = b"\xff"
 
@@ -92,25 +94,51 @@ class ChunkEncoder:
         self.merger = tiktoken.Encoding(style, pat_str=pattern, mergeable_ranks=piece_ranks(path, style), special_tokens={})
         self.style, self.memo = style, memo
         self.pieces: dict[str, list[int]] = {}
-        self.clear()
-
-    def clear(self) -> None:
+        self.older: dict[str, list[int]] = {}  # pieces known before the last renewal
         self.slot: dict[str, int] = {}
         self.first: dict[str, int] = {}
         self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
+        self.uses = np.zeros(1 << 14, np.int32)  # texts that held each chunk
+
+    def _renew(self) -> None:
+        """Forget the chunks that the fewest texts held, at least half of all."""
+        n, least = len(self.sizes), 2
+        uses = self.uses[:n]
+        while np.count_nonzero(uses >= least) > self.memo // 2:
+            least *= 2
+        kept = np.nonzero(uses >= least)[0]
+        new = np.full(n, -1)
+        new[kept] = np.arange(len(kept))
+        for name in ("slot", "first"):
+            setattr(self, name, {c: k for c, k in zip(getattr(self, name), new[list(getattr(self, name).values())].tolist(), strict=True) if k >= 0} if getattr(self, name) else {})
+        sizes = np.array(self.sizes, np.int64)[kept]
+        ends = np.cumsum(sizes)
+        at = np.repeat(np.array(self.starts, np.int64)[kept] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        self.flat = array("I", np.array(self.flat, np.uint32)[at].tobytes())
+        self.starts, self.sizes = array("q", (ends - sizes).tobytes()), array("q", sizes.tobytes())
+        self.uses[: len(kept)] = uses[kept] // 2
+        self.uses[len(kept) :] = 0
+
+    @staticmethod
+    def _plain(text: str) -> bool:
+        return "<|" not in text and _PLAIN.fullmatch(text) is not None and _LONG_RUN.search(text) is None
 
     def encode_chunk(self, chunk: str) -> list[int]:
-        if "<|" in chunk or not _PLAIN.fullmatch(chunk):
+        if not self._plain(chunk):
             return self.library.encode(chunk, add_special_tokens=False).ids
         if self.style == "byte":
             return self.merger.encode_ordinary(chunk)
         out: list[int] = []
+        if len(self.pieces) > self.memo // 2:
+            self.older, self.pieces = self.pieces, {}
+        known = self.pieces
         for piece in _WORD_PIECES.findall(chunk.lower()):
-            ids = self.pieces.get(piece)
+            ids = known.get(piece)
             if ids is None:
-                if len(self.pieces) > self.memo:
-                    self.pieces.clear()
-                ids = self.pieces[piece] = self.merger._encode_single_piece(piece.encode() + _END)
+                ids = self.older.get(piece)
+                if ids is None:
+                    ids = self.merger._encode_single_piece(piece.encode() + _END)
+                known[piece] = ids
             out += ids
         return out
 
@@ -123,7 +151,7 @@ class ChunkEncoder:
 
     def _slots(self, text: str) -> np.ndarray:
         if len(self.sizes) > self.memo:
-            self.clear()
+            self._renew()
         slot = self.slot
         if self.style == "word":
             chunks, lead = word_chunks(text), ""
@@ -144,17 +172,25 @@ class ChunkEncoder:
             if known is None:
                 known = self.first[begin] = self._learn(begin)
             out.insert(0, known)
-        return np.array(out, np.int64)
+        slots = np.array(out, np.int64)
+        if len(self.sizes) > len(self.uses):
+            self.uses = np.concatenate([self.uses, np.zeros(len(self.sizes), np.int32)])
+        self.uses[slots] += 1
+        return slots
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
+        if self.style == "byte":
+            return len(self.ids(text))
         slots = self._slots(text)
         return int(np.frombuffer(self.sizes, np.int64)[slots].sum())
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
+        if self.style == "byte" and self._plain(text):  # merging whole texts by rank is faster than any memo
+            return np.array(self.merger.encode_ordinary(text), np.uint32)
         slots = self._slots(text)
         sizes = np.frombuffer(self.sizes, np.int64)[slots]
         ends = np.cumsum(sizes)
