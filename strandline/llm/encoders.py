@@ -47,7 +47,7 @@ _LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 _PLAIN = re.compile(f"[\\x00-\\x7f{_LATIN}]*")
 _WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^\\t-\\r a-z{_LATIN}0-9]+")
 #: A run so long that rank merging, whose time grows with its square, is left to the other library.
-_LONG_RUN = re.compile(r"\S{1000}|\s{1000}")
+_LONG_RUN = re.compile(r"(?<!\S)\S{1000}|(?<!\s)\s{1000}")
 #: Stands for the word end; UTF-8 has no such byte.
 _END = b"\xff"
 
