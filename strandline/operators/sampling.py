@@ -35,19 +35,19 @@ def _may_checkpoint(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-"))
 
 
-def inhibited_points(cells: DataFrame, radius: float, seed: int = 0, max_rounds: int = 64) -> DataFrame:
+def inhibited_points(cells: DataFrame, radius: float, seed: int = 0) -> DataFrame:
     """A largest set of cells with no two of one grid within radius: tid, r, c, priority.
 
     Round by round, cells that come first within the radius are kept and their neighbours dropped, until none is left;
     a join on blocks as wide as the radius finds the neighbours.  Any set with this property is a valid sample; this
-    one is the same for any partitioning.
+    one is the same for any partitioning.  Cells without a place (null tid, r or c) are near none and not sampled.
     """
     size = max(1, int(radius) + 1)
-    left = with_priority(cells.select("tid", "r", "c"), seed).withColumn("order", F.struct("priority", "r", "c"))
+    left = with_priority(cells.select("tid", "r", "c").dropna(), seed).withColumn("order", F.struct("priority", "r", "c"))
     blocks = {"br": F.floor(F.col("r") / size), "bc": F.floor(F.col("c") / size)}
     kept = None
     _may_checkpoint(cells.sparkSession)
-    for _ in range(max_rounds):
+    while True:  # a round keeps the first cell of each grid that is left, so that there is an end
         around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
         near = left.withColumns(blocks).withColumn("s", around).select("tid", (F.col("br") + F.col("s.a")).alias("br"), (F.col("bc") + F.col("s.b")).alias("bc"), F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("order").alias("order2"))
         close = (F.col("r") - F.col("r2")) * (F.col("r") - F.col("r2")) + (F.col("c") - F.col("c2")) * (F.col("c") - F.col("c2")) <= radius * radius
@@ -57,5 +57,4 @@ def inhibited_points(cells: DataFrame, radius: float, seed: int = 0, max_rounds:
         f = first.withColumns(blocks).withColumn("s", around).select(F.col("tid").alias("t2"), (F.col("br") + F.col("s.a")).alias("br2"), (F.col("bc") + F.col("s.b")).alias("bc2"), F.col("r").alias("r2"), F.col("c").alias("c2"))
         left = left.withColumns(blocks).join(f, (F.col("tid") == F.col("t2")) & (F.col("br") == F.col("br2")) & (F.col("bc") == F.col("bc2")) & close, "left_anti").select("tid", "r", "c", "priority", "order").checkpoint()
         if left.isEmpty():
-            break
-    return kept.drop("order")
+            return kept.drop("order")

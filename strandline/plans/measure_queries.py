@@ -399,7 +399,7 @@ def search_points_top_up(spark, sf):
 
 @query("search_points_inhibited")
 def search_points_inhibited(spark, sf):
-    return sampling.inhibited_points(_vegetated(spark, sf).where("c % 2 = 0"), 6.0)
+    return sampling.inhibited_points(_vegetated(spark, sf), 6.0)
 
 
 LPTS = "pts AS (SELECT DISTINCT tid, tid % 30 + 10 AS r0, tid * 7 % 55 + 5 AS c0 FROM cell)"

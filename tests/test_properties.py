@@ -71,6 +71,23 @@ def test_inhibited_points_keep_their_distance(spark):
     assert all(any(math.dist((i, j), p) <= 5 for p in points) for i in range(1, 31) for j in range(1, 31))
 
 
+def test_inhibited_points_go_on_until_no_cell_is_left(spark, monkeypatch):
+    # each round keeps one cell of the line and drops the next
+    monkeypatch.setattr(sampling, "with_priority", lambda frame, seed=0: frame.withColumn("priority", F.col("c").cast("long")))
+    line = cells(spark, [[1] * 131])
+    assert sorted(r.c for r in sampling.inhibited_points(line, 1.0).collect()) == list(range(1, 132, 2))
+
+
+def test_inhibited_query_samples_all_vegetated_cells(spark):
+    from strandline.plans import catalogue
+
+    data = "/root/testdata/sf0.001"
+    area = [(r.tid, r.r, r.c) for r in T.band_cells(spark, data).where("veg1 = 1 or veg2 = 1").collect()]
+    points = [(r.tid, r.r, r.c) for r in catalogue.QUERIES["search_points_inhibited"](spark, data).collect()]
+    assert any(c % 2 for _, _, c in points) and set(points) <= set(area)
+    assert all(any(t == u and math.dist((r, c), (a, b)) <= 6 for u, a, b in points) for t, r, c in area)
+
+
 def test_circular_mean_ignores_full_turns(spark):
     rows = spark.createDataFrame([(0.5,), (1.5,), (6.0,)], "a double")
     one = rows.agg(A.circular_mean(F.col("a")).alias("m"), A.circular_sd(F.col("a")).alias("s")).first()
