@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.common import store, table
-from strandline.llm.decontaminate import find_leaks
+from strandline.llm.decontaminate import clean_documents
 from strandline.llm.jaccard_join import jaccard_components
 from strandline.llm.line_dedup import dedup_lines
-from strandline.llm.quality import score_quality
+from strandline.llm.quality import good_documents
 from strandline.llm.word_bpe import decode_documents, digests, encode_documents
 
 
@@ -20,9 +20,8 @@ def _keep(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; rows of one doc_id go if one of them does."""
-    scored = score_quality(docs, table(spark, sf_dir, "labels"))
-    return _keep(docs, scored.where("predicted = 0").select("doc_id"), "left_anti")
+    """Documents that the classifier rejects go, each row by its own text."""
+    return good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +43,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that give away a test item go."""
-    return _keep(docs, find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "left_anti")
+    """Documents that give away a test item go, each row by its own text."""
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

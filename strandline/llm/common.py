@@ -69,6 +69,22 @@ def arrow_map(df: DataFrame, kernel: Callable[[dict], Iterable[dict]], schema: s
     return df.mapInArrow(run, schema)
 
 
+def arrow_keep(df: DataFrame, of: tuple[str, ...], kernel: Callable[[dict], list[bool]], batch_rows: int = 256) -> DataFrame:
+    """The rows of df that kernel keeps, by what it says of each one; it gets the columns `of` as Python lists.
+
+    All other columns pass as they are, so that each row is decided by itself and none is joined.
+    """
+    small_batches(df.sparkSession, batch_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_rows):
+                part = batch.slice(at, batch_rows)
+                yield part.filter(pa.array(kernel(part.select(list(of)).to_pydict()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow(kind):
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import arrow_keep, arrow_map, table
 
 #: Bytes of benchmark text in one index; larger benchmarks are split into several.
 INDEX_BYTES = 32 << 20
@@ -182,6 +182,22 @@ class BM25Index:
         return [(self.items[n].item_id, *x) for n, x in sorted(best.items())]
 
 
+def _indexes(benchmark: DataFrame, threshold: float) -> Iterator[BM25Index]:
+    """One index, or several by a hash of item_id, of at most about INDEX_BYTES of text each."""
+    n_bytes = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-n_bytes // INDEX_BYTES))
+    for part in range(parts):
+        rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).select("item_id", "text").collect()
+        yield BM25Index([(r.item_id, r.text) for r in rows], threshold)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, shingle: int = 5, overlap: float = 0.75, answer_overlap: float = 0.5) -> DataFrame:
+    """The rows of docs that give away no test item, as find_leaks() has them, with all their columns."""
+    for index in _indexes(benchmark, threshold):
+        docs = arrow_keep(docs, ("text",), lambda cols, index=index: [not index.leaks(t, shingle, overlap, answer_overlap) for t in cols["text"]])
+    return docs
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, shingle: int = 5, overlap: float = 0.75, answer_overlap: float = 0.5) -> DataFrame:
     """A row for each document and test item that it gives away: doc_id, item_id, score, question_overlap, answer_overlap.
 
@@ -196,9 +212,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, sh
     so that other columns may have any name.  An empty table gives an empty result.
     """
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    n_bytes = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-n_bytes // INDEX_BYTES))
-
     def search(index: BM25Index) -> DataFrame:
         def kernel(cols: dict):
             out: dict = {"doc_id": [], "item_id": [], "score": [], "question_overlap": [], "answer_overlap": []}
@@ -211,9 +224,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, sh
         return arrow_map(docs.select("doc_id", "text"), kernel, schema, batch_rows=256)
 
     found = None
-    for part in range(parts):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).select("item_id", "text").collect()
-        one = search(BM25Index([(r.item_id, r.text) for r in rows], threshold))
+    for index in _indexes(benchmark, threshold):
+        one = search(index)
         found = one if found is None else found.unionByName(one)
     return found
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, store, table
+from .common import arrow_keep, arrow_map, store, table
 
 #: The statistics of a text that a score may use; they don't know doc_id, source, lang or labels.
 STATISTICS = (
@@ -142,6 +142,24 @@ def fit(training: DataFrame, n_features: int = 256, width: float = 4.0, ridge: f
     return QualityModel(**{**model.__dict__, "knots": isotonic(rows[:, 0], rows[:, 1])})
 
 
+def learn(docs: DataFrame, labels: DataFrame, **fitting) -> tuple[DataFrame, QualityModel]:
+    """doc_id, held_out and statistics of every row of docs, and the model that score_quality() describes."""
+    found = store(document_statistics(docs), "quality-statistics")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    truth = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("label"))
+    model = fit(found.where(~held_out).join(truth, "doc_id").select("doc_id", "statistics", "label"), **fitting)
+    return found.select("doc_id", held_out.alias("held_out"), "statistics"), model
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, cut: float = 0.7, **fitting) -> DataFrame:
+    """The rows of docs that score_quality() predicts to be good, with all their columns, each decided by its own text.
+
+    Texts are read twice, to learn and to decide: a row's statistics are computed again beside its other columns.
+    """
+    _, model = learn(docs, labels, **fitting)
+    return arrow_keep(docs, ("text",), lambda cols: (model.scores(np.array([statistics(t) for t in cols["text"]])) >= cut).tolist())
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.7, **fitting) -> DataFrame:
     """Per document: doc_id, held_out, score (0 to 1, higher: better) and predicted (1 if score >= cut).
 
@@ -152,16 +170,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.7, **fittin
     repeated doc_ids are rows like others.  Only doc_id and text, and doc_id and quality, are read, so that other
     columns may have any name.  An empty table gives an empty result; without labels every score is 0.5.
     """
-    found = store(document_statistics(docs), "quality-statistics")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    truth = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("label"))
-    model = fit(found.where(~held_out).join(truth, "doc_id").select("doc_id", "statistics", "label"), **fitting)
+    found, model = learn(docs, labels, **fitting)
 
     def kernel(cols: dict):
         scores = model.scores(np.array(cols["statistics"])) if cols["doc_id"] else np.zeros(0)
         yield {"doc_id": cols["doc_id"], "held_out": cols["held_out"], "score": scores, "predicted": (scores >= cut).astype(np.int32)}
 
-    return arrow_map(found.select("doc_id", held_out.alias("held_out"), "statistics"), kernel, "doc_id long, held_out boolean, score double, predicted int")
+    return arrow_map(found, kernel, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -331,6 +331,25 @@ def test_pipeline(spark):
     leaked = {d for d, _ in brute.leaks(rows, items)}
     want = {i: (n, h) for i, n, h, _ in brute.bpe(rows, library("word_bpe_49k.json")) if i not in leaked}
     assert found.items() <= want.items() and len(want) - len(found) <= 1 + 0.02 * len(want)
+    assert found == want
+
+
+def test_stages_decide_by_row(spark):
+    """A rejected row takes no other row of its doc_id with it, nor do rows without one."""
+    import corpus_pipeline
+
+    once = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("source", F.col("doc_id").cast("string"))
+    docs = once.unionByName(once.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(once.withColumn("doc_id", F.lit(1 << 40).cast("long")))
+    for stage in ("quality_classifier", "decontamination"):
+        kept = dict(corpus_pipeline.STAGES)[stage](spark, docs, DATA).select("doc_id", "source").collect()
+        own = sorted(r.source for r in kept if r.doc_id not in (None, 1 << 40))
+        assert 0 < len(own) < once.count()
+        assert own == sorted(r.source for r in kept if r.doc_id is None) == sorted(r.source for r in kept if r.doc_id == 1 << 40)
+        if stage == "quality_classifier":
+            from strandline.llm.quality import score_quality
+
+            scored = score_quality(docs, spark.read.parquet(f"{DATA}/labels.parquet")).where("predicted = 1").collect()
+            assert own == sorted(str(r.doc_id) for r in scored if r.doc_id not in (None, 1 << 40)) and len(scored) == len(kept)
 
 
 def test_stages_take_awkward_rows(spark, tmp_path):
