@@ -20,10 +20,14 @@ BASE = {
 WEAK = {
     "identifier": (r"""(?i)(access_?key_?id|client_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]+)""", 2, 3),
     "weak_secret": (r"""(?i)(pass|pwd|credential|private_?key|auth)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    # the secret half of a key pair by name; what stands there may be the identifier
+    "key_secret": (r"""(?i)((?:secret[_-]?(?:access[_-]?)?|access[_-]?|account[_-]?)key|(?<![A-Za-z0-9_-])key)["']?\x20*[:=]\x20*["']?(?!(?-i:AKIA[A-Z0-9]))([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    # without a name: 40 characters as key pairs have them, not all of them lower-case hex digits
+    "bare_secret": (r"""(?<![A-Za-z0-9+/_.:-])(?![0-9a-f]{40})[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_.=-])""", 0, 40),
     "endpoint": (r"""(?i)(https?|jdbc|postgres|postgresql|mysql|mongodb|redis|amqp|ftp|s3)://[A-Za-z0-9_.:/@?&=%-]+""", 0, 8),
 }
 #: The part that each kind plays, and the parts that complement it.
-ROLE = {"assign": "secret", "hex": "secret", "weak_secret": "secret", "access": "identifier", "identifier": "identifier", "endpoint": "endpoint"}
+ROLE = {"assign": "secret", "hex": "secret", "weak_secret": "secret", "key_secret": "secret", "bare_secret": "secret", "access": "identifier", "identifier": "identifier", "endpoint": "endpoint"}
 COMPLEMENTS = {"secret": ("identifier", "endpoint"), "identifier": ("secret",), "endpoint": ("secret",)}
 
 
