@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import aggregates as A
 from ..operators import fits, flow, fronts, grid, hull, lines, patches, profile, results, sampling, terrain, zones
 from ..sources import tables as T
-from .base import CELL, DENSITY, R, query, smooth, zone
+from .base import CELL, DENSITY, ORACLE_SQL, R, query, smooth, zone
 from .grid_queries import ABUT, DOWN, KEYS, RESIDUAL, SLOPE, _mod, aspects, residuals
 from .grid_queries import WORK as WORK_SQL
 from .grid_queries import zones as zone_rows
@@ -441,11 +441,20 @@ k AS (SELECT o.tid, line_id, i FROM o JOIN asp ON asp.tid = o.tid AND asp.r = o.
 g AS (SELECT tid, line_id, min(i) AS a, max(i) AS b, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY tid, line_id ORDER BY i) AS g FROM k) GROUP BY tid, line_id, g)
 SELECT tid, line_id, a::INT AS i_from, b::INT AS i_to, n FROM g WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY tid, line_id ORDER BY n DESC, a) = 1""")
 def homogeneous_aspect_line(spark, sf):
-    cells = aspects(T.band_cells(spark, sf))
-    starts = cells.where("r % 12 = 6 and c % 12 = 6").select(*KEYS, (F.col("r") * 64 + F.col("c")).alias("line_id"))
+    return _like_aspects(aspects(T.band_cells(spark, sf)), "r % 12 = 6 and c % 12 = 6")
+
+
+def _like_aspects(cells, of: str):
+    starts = cells.where(of).select(*KEYS, (F.col("r") * 64 + F.col("c")).alias("line_id"))
     return lines.homogeneous_lines(cells, starts, 8, 1.0, 2)
 
 
+@query("homogeneous_aspect_line_whole", ORACLE_SQL["homogeneous_aspect_line"].replace("r % 12 = 6 AND c % 12 = 6 AND ", ""))
+def homogeneous_aspect_line_whole(spark, sf):
+    """A line from every cell."""
+    return _like_aspects(aspects(T.band_cells(spark, sf)), "true")
+
+
 @query("deviating_aspect_patches", f"""
 WITH {SLOPE}, dir AS (SELECT tid, r, c, (1 + floor({_mod(f'aspect + {math.pi / 4!r}e0')} / {math.pi / 2!r}e0))::INT AS dir FROM asp WHERE aspect IS NOT NULL)
 SELECT tid, dir, count(*) AS n_cells, {R('count(*) / 3200e0')} AS fraction FROM dir WHERE dir <> 4 GROUP BY tid, dir""")

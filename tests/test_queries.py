@@ -61,3 +61,9 @@ def test_flagship(spark):
     want = [(9, 58), (8, 58), (9, 57), (9, 58), (8, 58), (9, 58), (9, 57), (8, 57), (8, 57), (8, 58)]
     found = {r.tid: (r.start, r.end) for r in catalogue.QUERIES["zone_extent"](spark, DATA).collect()}
     assert found == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("name", ["scalar_functions", "reproject_bilinear", "homogeneous_aspect_line", "cell_of_point"])
+def test_whole_queries_start_from_every_cell(spark, name):
+    whole, lattice = catalogue.QUERIES[f"{name}_whole"](spark, DATA), catalogue.QUERIES[name](spark, DATA)
+    assert whole.count() > 9 * lattice.count() and not lattice.exceptAll(whole).count()
