@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -53,20 +53,36 @@ class Posting:
     most: float = 0.0
 
 
+@dataclass
+class Whole:
+    """What scores need of all items, those of other indexes too: document frequencies, the items' number and words, the longest."""
+
+    df: Counter = field(default_factory=Counter)
+    n: int = 0
+    n_words: int = 0
+    longest: int = 0
+
+    def add(self, texts: Iterable[str | None]) -> Whole:
+        for w in filter(None, map(words, texts)):
+            self.df.update(set(w))
+            self.n, self.n_words, self.longest = self.n + 1, self.n_words + len(w), max(self.longest, len(w))
+        return self
+
+
 class BM25Index:
     """Impacts are shares of the score that an item gets from its own words, so that one threshold suits all items."""
 
-    def __init__(self, items: list[tuple[int, str | None]], threshold: float, k1: float = 1.2, b: float = 0.75, answer_share: float = 0.25):
+    def __init__(self, items: list[tuple[int, str | None]], threshold: float, k1: float = 1.2, b: float = 0.75, answer_share: float = 0.25, whole: Whole | None = None):
         self.threshold = threshold
         self.items = [Item(i, w, max(1, round(answer_share * len(w)))) for i, t in items if (w := words(t))]
         counts = [Counter(x.found) for x in self.items]
-        df = Counter(w for c in counts for w in c)
-        mean = sum(len(x.found) for x in self.items) / max(1, len(self.items))
+        whole = whole or Whole().add(t for _, t in items)
+        df, mean = whole.df, whole.n_words / max(1, whole.n)
         self.postings: dict[bytes, Posting] = defaultdict(Posting)
         own: list[dict[bytes, float]] = []
         for n, c in enumerate(counts):
             norm = k1 * (1 - b + b * len(self.items[n].found) / mean)
-            impact = {w: math.log(1 + (len(counts) - df[w] + 0.5) / (df[w] + 0.5)) * f * (k1 + 1) / (f + norm) for w, f in c.items()}
+            impact = {w: math.log(1 + (whole.n - df[w] + 0.5) / (df[w] + 0.5)) * f * (k1 + 1) / (f + norm) for w, f in c.items()}
             total = sum(impact.values())
             own.append({w: x / total for w, x in impact.items()})
             for w, x in own[-1].items():
@@ -88,7 +104,7 @@ class BM25Index:
         self.blocks, self.block_most, self.block_sizes = np.array(blocks, np.int64), np.array(most), np.array(sizes, np.int64)
         self.block_starts = np.cumsum(self.block_sizes) - self.block_sizes
         #: Passages are twice as long as the longest item, and start each half of that: each place for an item is whole in one.
-        self.half = max([32, *(len(x.found) for x in self.items)])
+        self.half = max(32, whole.longest)
 
     def bounds(self, found: list[bytes], start: int, n: int) -> np.ndarray:
         """For n passages from `start` (in halves) on: the most that an item of each block can score."""
@@ -183,12 +199,20 @@ class BM25Index:
 
 
 def _indexes(benchmark: DataFrame, threshold: float) -> Iterator[BM25Index]:
-    """One index, or several by a hash of item_id, of at most about INDEX_BYTES of text each."""
+    """One index, or several by a hash of item_id, of at most about INDEX_BYTES of text each; they score as one would."""
     n_bytes = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-n_bytes // INDEX_BYTES))
-    for part in range(parts):
+
+    def items(part: int) -> list[tuple[int, str | None]]:
         rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).select("item_id", "text").collect()
-        yield BM25Index([(r.item_id, r.text) for r in rows], threshold)
+        return [(r.item_id, r.text) for r in rows]
+
+    whole = Whole() if parts > 1 else None
+    if whole:
+        for part in range(parts):
+            whole.add(t for _, t in items(part))
+    for part in range(parts):
+        yield BM25Index(items(part), threshold, whole=whole)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, shingle: int = 5, overlap: float = 0.75, answer_overlap: float = 0.5) -> DataFrame:

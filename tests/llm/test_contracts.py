@@ -349,6 +349,18 @@ def test_pipeline(spark):
     assert found == want
 
 
+def test_parts_of_the_benchmark_score_as_one_index(spark, monkeypatch):
+    from strandline.llm import decontaminate
+
+    docs, items = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = lambda: sorted(tuple(r) for r in decontaminate.find_leaks(docs, items).collect())
+    one = found()
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 1 + items.agg(F.sum(F.octet_length("text"))).first()[0] // 3)
+    parts = found()
+    assert one and [r[:2] for r in one] == [r[:2] for r in parts]
+    assert all(abs(x - y) < 1e-12 for r, s in zip(one, parts, strict=True) for x, y in zip(r[2:], s[2:], strict=True))
+
+
 def test_stages_decide_by_row(spark):
     """A rejected row takes no other row of its doc_id with it, nor do rows without one."""
     import corpus_pipeline
