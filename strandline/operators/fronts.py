@@ -107,9 +107,31 @@ def exact_signed_rank_p(rows: DataFrame, keys=("tid",)) -> DataFrame:
     return grouped(delta, k, kernel, "p_exact double")
 
 
-def retro_power(rows: DataFrame, keys=("tid",), effect: float = 0.2, t_crit: float = 1.6765509) -> DataFrame:
-    """Power to find a mean difference of `effect`; t_crit is the 0.95 quantile of Student's t for the rows' number."""
+def t_quantile(p: float, n: int) -> float:
+    """The quantile p > 0.5 of Student's t with n degrees of freedom, by bisection of the finite series of its distribution."""
+
+    def inside(t: float) -> float:
+        """The probability between -t and t."""
+        angle = math.atan(t / math.sqrt(n))
+        c2, total, term = math.cos(angle) ** 2, 0.0, math.cos(angle) if n % 2 else 1.0
+        for k in range(2 + n % 2, n + 1, 2):
+            total += term
+            term *= c2 * (k - 1) / k
+        return 2 / math.pi * (angle + math.sin(angle) * total) if n % 2 else math.sin(angle) * total
+
+    low, high = 0.0, 1.0
+    while inside(high) < 2 * p - 1:
+        high *= 2
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if inside(middle) < 2 * p - 1 else (low, middle)
+    return high
+
+
+def retro_power(rows: DataFrame, keys=("tid",), effect: float = 0.2, level: float = 0.95) -> DataFrame:
+    """Power to find a mean difference of `effect`, by the quantile `level` of Student's t for each group's number of rows."""
     d = F.col("t1") + F.col("t2")
     s = rows.groupBy(*keys).agg(F.stddev_samp(d).alias("s"), F.count(d).alias("n"))
+    t_crit = F.udf(lambda n: t_quantile(level, n - 1) if n > 1 else None, "double")(F.col("n"))
     x = (t_crit - effect * F.sqrt(F.col("n").cast("double")) / F.col("s")) / math.sqrt(2)
     return s.where("s > 0").select(*keys, "n", (1 - (1 + erf(x)) / 2).alias("power"))

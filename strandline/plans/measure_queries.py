@@ -337,7 +337,7 @@ def morans_i(spark, sf):
 
 @query("morans_i_permuted")
 def morans_i_permuted(spark, sf):
-    return fits.morans_p(residuals(T.band_cells(spark, sf)), "e", permutations=99)
+    return fits.morans_p(residuals(T.band_cells(spark, sf)), "e", permutations=199)
 
 
 @query("semivariogram", f"""

@@ -88,6 +88,23 @@ def test_inhibited_query_samples_all_vegetated_cells(spark):
     assert all(any(t == u and math.dist((r, c), (a, b)) <= 6 for u, a, b in points) for t, r, c in area)
 
 
+def test_power_takes_the_quantile_of_each_group(spark):
+    known = {1: 6.313752, 2: 2.919986, 4: 2.131847, 5: 2.015048, 10: 1.812461, 49: 1.676551}
+    assert all(abs(fronts.t_quantile(0.95, n) - t) < 1e-6 for n, t in known.items())
+    rows = spark.createDataFrame([(n, 0.1 * (i % 3), 0.2 * (i % 2)) for n in (5, 11, 50) for i in range(n)], "tid int, t1 double, t2 double")
+    for r in fronts.retro_power(rows).collect():
+        d = [0.1 * (i % 3) + 0.2 * (i % 2) for i in range(r.tid)]
+        x = (known[r.tid - 1] - 0.2 * math.sqrt(r.tid) / np.std(d, ddof=1)) / math.sqrt(2)
+        assert abs(r.power - (1 - math.erf(x)) / 2) < 1e-6
+
+
+def test_registered_permutations(spark):
+    from strandline.plans import catalogue
+
+    ps = [r.p * 200 for r in catalogue.QUERIES["morans_i_permuted"](spark, "/root/testdata/sf0.001").collect()]
+    assert all(abs(p - round(p)) < 1e-3 for p in ps) and any(round(p) % 2 for p in ps)
+
+
 def test_circular_mean_ignores_full_turns(spark):
     rows = spark.createDataFrame([(0.5,), (1.5,), (6.0,)], "a double")
     one = rows.agg(A.circular_mean(F.col("a")).alias("m"), A.circular_sd(F.col("a")).alias("s")).first()
