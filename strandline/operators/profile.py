@@ -44,7 +44,7 @@ def zone_extent(profile: DataFrame, keys=("tid",), low: int = 5, high: int = 75,
     """keys, start, end: the columns between which the boundary zone lies.
 
     profile has densities (keys, veg in veg1 and veg2, c, d); thresholds are in percent.  veg1 falls: from its last run
-    of high density to the first run of low density behind that.  veg2 rises: from its first low run to the first high
+    of high density to the last run of low density behind that.  veg2 rises: from its first low run to the first high
     run behind that.  The zone starts where veg2 is low within the extended run of veg1 that holds the end of veg1's
     high run, and ends where veg1 is low within the extended run of veg2 that holds the begin of veg2's high run.
     Groups without any of these pieces have no row.  A residual profile must have no run of extended density.
@@ -59,7 +59,7 @@ def zone_extent(profile: DataFrame, keys=("tid",), low: int = 5, high: int = 75,
         return rows.groupBy(*k).agg(pick(F.struct(f"{p}a", f"{p}b"), f"{p}a").alias("run")).select(*k, "run.*")
 
     v1s = one(of("hi", "veg1", "v1s"), "v1s", last=True)
-    v1e = one(of("lo", "veg1", "v1e").join(v1s, k).where("v1ea > v1sb"), "v1e")
+    v1e = one(of("lo", "veg1", "v1e").join(v1s, k).where("v1ea > v1sb"), "v1e", last=True)
     v2s = one(of("lo", "veg2", "v2s"), "v2s")
     v2e = one(of("hi", "veg2", "v2e").join(v2s, k).where("v2ea > v2sb"), "v2e")
     held = v1s.join(of("mn", "veg1", "m"), k).where("v1sb between ma and mb").select(*k, "v1sb", F.col("ma").alias("m1a"))

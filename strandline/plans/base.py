@@ -64,7 +64,7 @@ def zone(source: str = "sm", prefix: str = "z") -> str:
     FROM (SELECT 'hi' AS kind, tid, veg, c FROM {p}_f WHERE hi UNION ALL SELECT 'mn', tid, veg, c FROM {p}_f WHERE mn UNION ALL SELECT 'lo', tid, veg, c FROM {p}_f WHERE lo)
   ) GROUP BY kind, tid, veg, g
 ), {p}_v1s AS (SELECT tid, max(a) AS a, max(b) AS b FROM {p}_run WHERE kind = 'hi' AND veg = 'veg1' GROUP BY tid),
-{p}_v1e AS (SELECT x.tid, min(x.a) AS a, min(x.b) AS b FROM {p}_run x JOIN {p}_v1s s ON x.tid = s.tid AND x.a > s.b WHERE kind = 'lo' AND veg = 'veg1' GROUP BY x.tid),
+{p}_v1e AS (SELECT x.tid, max(x.a) AS a, max(x.b) AS b FROM {p}_run x JOIN {p}_v1s s ON x.tid = s.tid AND x.a > s.b WHERE kind = 'lo' AND veg = 'veg1' GROUP BY x.tid),
 {p}_v2s AS (SELECT tid, min(a) AS a, min(b) AS b FROM {p}_run WHERE kind = 'lo' AND veg = 'veg2' GROUP BY tid),
 {p}_v2e AS (SELECT x.tid, min(x.a) AS a, min(x.b) AS b FROM {p}_run x JOIN {p}_v2s s ON x.tid = s.tid AND x.a > s.b WHERE kind = 'hi' AND veg = 'veg2' GROUP BY x.tid),
 {p}_begin AS (
