@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -46,9 +47,44 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts go to Python in batches of so many rows: batches are held outside the heap, several at a time."""
+def small_batches(spark: SparkSession, rows: int = 1000, n_bytes: int = 4 << 20) -> None:
+    """Rows go to Python in batches of so many rows and bytes at most, of the session and for good: results are lazy.
+
+    Batches are held outside the heap, several at a time; only their size depends on this, never a result.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", n_bytes)
+
+
+def released(kernel: Callable) -> Callable:
+    """The kernel of a mapInArrow, after which the worker gives its free memory back: it lives on for other tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # a C library without it keeps free memory for later
+
+
+def replayable(docs: DataFrame, name: str) -> DataFrame:
+    """docs, whose rows come in the same order whenever they are read: as they are if they are scanned from files, else stored."""
+    nodes = re.findall(r"^[\s:+-]*(?:\*\(\d+\) )?(\w+)", docs._jdf.queryExecution().sparkPlan().toString(), re.M)
+    plain = nodes and all(n in ("Project", "Filter", "FileScan", "ColumnarToRow", "LocalTableScan") for n in nodes)
+    return docs if plain else store(docs, name)
 
 
 def arrow_map(df: DataFrame, kernel: Callable[[dict], Iterable[dict]], schema: str, batch_rows: int = 2000) -> DataFrame:
@@ -66,7 +102,7 @@ def arrow_map(df: DataFrame, kernel: Callable[[dict], Iterable[dict]], schema: s
                 for cols in kernel(batch.slice(at, batch_rows).to_pydict()):
                     yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def arrow_keep(df: DataFrame, of: tuple[str, ...], kernel: Callable[[dict], list[bool]], batch_rows: int = 256) -> DataFrame:
@@ -82,7 +118,7 @@ def arrow_keep(df: DataFrame, of: tuple[str, ...], kernel: Callable[[dict], list
                 part = batch.slice(at, batch_rows)
                 yield part.filter(pa.array(kernel(part.select(list(of)).to_pydict()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(released(run), df.schema)
 
 
 def _arrow(kind):

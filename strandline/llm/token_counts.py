@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh_path, salted_join, store, table
+from .common import fresh_path, released, salted_join, small_batches, store, table
 from .encoders import encoder
 
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens long"
@@ -50,10 +52,14 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     misses = misses.withColumnRenamed("digest", "miss").hint("shuffle_hash")
     texts = digested.join(misses, (F.col("digest") == F.col("miss")) & F.col("doc_id").eqNullSafe(F.col("one_id"))).select("digest", "normal")
 
-    def count(cols: dict):
-        yield {"digest": cols["digest"], "n_tokens": [encoder(tokenizer_path, "word").count(t) for t in cols["normal"]]}
+    small_batches(spark)
 
-    counted = arrow_map(texts, count, "digest string, n_tokens long").select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = encoder(tokenizer_path, "word").counts(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["digest", "n_tokens"])
+
+    counted = texts.mapInArrow(released(count), "digest string, n_tokens long").select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
     counted.write.mode("append").parquet(cache_path)
 
     counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
