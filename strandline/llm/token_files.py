@@ -3,6 +3,7 @@
 File format, a Parquet table of segments under `<path>/segments`, in the order (part, seq):
 
 * part int, seq long: place of the segment; parts are ranges of doc_id, seq is the number of its first document there
+* first long, n long: ids of the part before the segment, ids of the segment
 * doc_ids array<long>, lengths array<int>: the documents of the segment in order, and their numbers of ids
 * bits binary: the codes of all ids, most significant bit first, zero bits up to a whole byte
 * checkpoints array<long>: the bit offset of every block of BLOCK ids; blocks are decoded independently of each other
@@ -13,20 +14,23 @@ length, then by id.
 
 from __future__ import annotations
 
+import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, remove, small_batches, table
+from .common import fresh_path, released, remove, small_batches, table
 from .encoders import encoder
 
-#: Ids of a block, ids after which a segment ends, and the longest code.
-BLOCK, SEGMENT, LONGEST = 1024, 1 << 20, 18
-SEGMENT_SCHEMA = "part int, seq long, doc_ids array<long>, lengths array<int>, bits binary, checkpoints array<long>"
+#: Ids of a block, ids after which a segment ends (and of which codes are made at a time), and the longest code.
+BLOCK, SEGMENT, LONGEST = 1024, 1 << 18, 18
+SEGMENT_SCHEMA = "part int, seq long, first long, n long, doc_ids array<long>, lengths array<int>, bits binary, checkpoints array<long>"
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -73,18 +77,22 @@ class Code:
 
     def encode(self, ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
         """The bits and the bit offset of each block."""
-        sizes = self.lengths[ids]
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        total = int(ends[-1]) if len(ids) else 0
-        words = np.zeros(total // 32 + 2, np.uint64)
-        # each code lies in one 64-bit window that starts at a 32-bit word; halves of one word have no bit in common
-        window = self.codes[ids].astype(np.uint64) << (64 - (starts & 31) - sizes).astype(np.uint64)
-        for half, at in ((window >> np.uint64(32), starts >> 5), (window & np.uint64(0xFFFFFFFF), (starts >> 5) + 1)):
-            if len(at):
+        held = self.lengths.astype(np.uint8)[ids]
+        total = int(held.sum(dtype=np.int64))
+        words, checkpoints, offset = np.zeros(total // 32 + 2, np.uint64), [np.zeros(0, np.int64)], 0
+        piece = -(-SEGMENT // block) * block
+        for begin in range(0, len(ids), piece):
+            sizes = held[begin : begin + piece].astype(np.int64)
+            ends = np.cumsum(sizes) + offset
+            starts = ends - sizes
+            offset = int(ends[-1])
+            checkpoints.append(starts[::block])
+            # each code lies in one 64-bit window that starts at a 32-bit word; halves of one word have no bit in common
+            window = self.codes[ids[begin : begin + piece]].astype(np.uint64) << (64 - (starts & 31) - sizes).astype(np.uint64)
+            for half, at in ((window >> np.uint64(32), starts >> 5), (window & np.uint64(0xFFFFFFFF), (starts >> 5) + 1)):
                 firsts = np.nonzero(np.diff(at, prepend=-1))[0]
                 words[at[firsts]] += np.add.reduceat(half, firsts)
-        return words.astype(">u4").tobytes()[: -(-total // 8)], starts[::block]
+        return words.astype(">u4").tobytes()[: -(-total // 8)], np.concatenate(checkpoints)
 
     def decode(self, bits: bytes, checkpoints: np.ndarray, n_ids: int, block: int = BLOCK) -> np.ndarray:
         """All blocks in step: one id of each block at a time, by one look into the table."""
@@ -107,98 +115,114 @@ class Code:
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, partitions: int | None = None) -> None:
     """Encode every whole text, append end_id to each, and write the files in ascending order of doc_id.
 
-    Rows are dealt by ranges of (doc_id, hash of the text), encoded in order, and counted; the global counts of ids,
-    of bounded number, make the code.  Null texts are empty: they have only end_id.  Rows without doc_id come first;
-    rows of one doc_id stand side by side, in the order of their texts' hashes.  Only doc_id and text are read, so that
-    other columns may have any name.  An empty table gives files without segments.
+    Texts are encoded and their ids counted where they are read; the global counts of ids, of bounded number, make the
+    code.  What is dealt by ranges of (doc_id, hash of the text, place) are the ids, of two bytes each; each range is
+    written in order.  Null texts are empty: they have only end_id.  Rows without doc_id come first; rows of one doc_id
+    stand side by side, in the order of their texts' hashes, however many they are.  Only doc_id and text are read, so
+    that other columns may have any name.  An empty table gives files without segments.
     """
     spark = docs.sparkSession
     small_batches(spark)
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ("doc_id", "hash")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    ids_path = f"{path}/ids"
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, of = TaskContext.get().partitionId(), 0, encoder(tokenizer_path, "byte")
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                cols = b.slice(at, 256)
-                ids = [np.append(of.ids(t), end_id).astype("<u2").tobytes() for t in cols.column(1).to_pylist()]
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(seq, seq + n), pa.int64()), cols.column(0), pa.array(ids, pa.binary())], ["part", "seq", "doc_id", "ids"])
-                seq += n
-
     n_ids = encoder(tokenizer_path, "byte").library.get_vocab_size()
     if n_ids > 1 << 16:
         raise ValueError("ids of more than 16 bits are not supported")
-    ids_schema = "part int, seq long, doc_id long, ids binary"
-    rows.select("doc_id", "text").mapInArrow(encode, ids_schema).write.option("compression", "zstd").parquet(ids_path)
-    encoded = spark.read.schema(ids_schema).parquet(ids_path)
+    ids_path, ids_schema = f"{path}/ids", "doc_id long, hash long, place long, ids binary"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_ids, np.int64)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document, and in the end one without ids for each id that came up: (id, its number)."""
+        names, of, total = ["doc_id", "hash", "place", "ids"], encoder(tokenizer_path, "byte"), np.zeros(n_ids, np.int64)
+        place = TaskContext.get().partitionId() << 33
         for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u2"), minlength=n_ids)
+            flat, edges = of.encode(b.column(2))
+            flat = np.insert(flat, edges[1:], end_id).astype("<u2")
+            edges = edges + np.arange(len(edges))
+            total += np.bincount(flat, minlength=n_ids)
+            ids = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((2 * edges).astype(np.int32)), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(np.arange(place, place + b.num_rows)), ids], names)
+            place += b.num_rows
         seen = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen]), pa.array(np.zeros(len(seen), np.int64)), pa.nulls(len(seen), pa.binary())], names)
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    rows.mapInArrow(released(encode), ids_schema).write.option("compression", "zstd").parquet(ids_path)
+    encoded = spark.read.schema(ids_schema).parquet(ids_path)
 
     counts = np.zeros(n_ids, np.int64)
-    for r in encoded.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[r.id] = r.n
+    for r in encoded.where("ids is null").groupBy("doc_id").agg(F.sum("hash").alias("n")).collect():
+        counts[r.doc_id] = r.n
     lengths = code_lengths(counts)
     code = Code(lengths)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/header")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int | None, np.ndarray]] = []
+        part, seq, first, size = TaskContext.get().partitionId(), 0, 0, 0
+        held: list[pa.RecordBatch] = []
 
         def segment() -> pa.RecordBatch:
-            bits, checkpoints = code.encode(np.concatenate([h[3] for h in held]))
-            cols = {"part": [held[0][0]], "seq": [held[0][1]], "doc_ids": [[h[2] for h in held]], "lengths": [[len(h[3]) for h in held]], "bits": [bits], "checkpoints": [checkpoints]}
-            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()))
+            ids = [np.frombuffer(x.as_buffer(), "<u2") for b in held for x in b.column(1) if x.is_valid]
+            bits, checkpoints = code.encode(np.concatenate(ids))
+            cols = {
+                "part": [part], "seq": [seq], "first": [first], "n": [sum(map(len, ids))], "doc_ids": [pa.concat_arrays([b.column(0) for b in held])], "lengths": [list(map(len, ids))], "bits": [bits], "checkpoints": [checkpoints],
+            }
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols.values(), kinds, strict=True)], list(cols))
 
-        size = 0
-        for b in batches:
-            for part, seq, doc_id, ids in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if held and (size >= SEGMENT or (part, seq) != (held[-1][0], held[-1][1] + 1)):
+        for batch in batches:
+            n = pc.binary_length(batch.column(1)).to_numpy() // 2
+            at = 0
+            while at < len(n):  # rows up to the end of the segment, the one that reaches it included
+                take = min(len(n) - at, 1 + int(np.searchsorted(np.cumsum(n[at:]), SEGMENT - size)))
+                held.append(batch.slice(at, take))
+                size += int(n[at : at + take].sum())
+                at += take
+                if size >= SEGMENT:
                     yield segment()
+                    seq, first, size = seq + sum(b.num_rows for b in held), first + size, 0
                     held.clear()
-                    size = 0
-                held.append((part, seq, doc_id, np.frombuffer(ids, "<u2")))
-                size += len(ids) // 2
         if held:
             yield segment()
 
-    encoded.mapInArrow(pack, SEGMENT_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/segments")
+    order = ("doc_id", "hash", "place")
+    dealt = encoded.where("ids is not null").repartitionByRange(partitions, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    dealt.mapInArrow(released(pack), SEGMENT_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/segments")
     remove(spark, ids_path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the files, in them: doc_id, start (ids of all documents before it) and ids (4-byte little-endian)."""
+def read_token_files(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
+    """Per document of the files, in them: doc_id, start (ids of all documents before it) and ids (4-byte little-endian).
+
+    With digests, n_tokens and ids_crc32 (of these bytes) stand for ids.  Segments are decoded where they are read:
+    they say how many ids of their part precede them, and the parts' sizes, as many as there are parts, go with the task.
+    """
+    small_batches(spark)
     code = Code(np.frombuffer(spark.read.parquet(f"{path}/header").first().lengths, np.uint8))
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(f"{path}/segments")
+    begins, total = {}, 0
+    for r in segments.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        begins[r.part] = total
+        total += r.n
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                lengths = np.array(row["lengths"], np.int64)
-                ends = np.cumsum(lengths)
-                ids = code.decode(row["bits"], np.array(row["checkpoints"]), int(ends[-1])).astype("<u4").tobytes()
+            for row in range(b.num_rows):
+                part, first, doc_ids, lengths, bits, checkpoints = (b.column(i)[row] for i in range(6))
+                lengths = lengths.values.to_numpy()
+                edges = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+                ids = code.decode(bits.as_py(), checkpoints.values.to_numpy(), int(edges[-1])).astype("<u4")
                 for at in range(0, len(lengths), 512):
-                    e, n = ends[at : at + 512], lengths[at : at + 512]
-                    cols = [[row["part"]] * len(n), [row["seq"]] * len(n), row["doc_ids"][at : at + 512], e - n, [ids[4 * (y - x) : 4 * y] for x, y in zip(n, e, strict=True)]]
-                    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], ["part", "seq", "doc_id", "within", "ids"])
+                    few, n = edges[at : at + 513], lengths[at : at + 512]
+                    raw = memoryview(ids[few[0] : few[-1]]).cast("B")
+                    places = 4 * (few - few[0])
+                    cols = [doc_ids.values.slice(at, len(n)), pa.array(begins[part.as_py()] + first.as_py() + few[:-1])]
+                    if digests:
+                        cols += [pa.array(n, pa.int64()), pa.array([zlib.crc32(raw[x:y]) for x, y in itertools.pairwise(places.tolist())], pa.int64())]
+                    else:
+                        cols.append(pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(raw)]))
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", *(["n_tokens", "ids_crc32"] if digests else ["ids"])])
 
-    # places: of parts (as many as the files were written with) in one window, of the segments within each part in another
-    sizes = segments.select("part", "seq", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    before = lambda w: F.sum("n").over(w) - F.col("n")
-    parts = sizes.groupBy("part").agg(F.sum("n").alias("n")).select("part", before(Window.orderBy("part")).alias("part_start"))
-    places = sizes.select("part", "seq", before(Window.partitionBy("part").orderBy("seq")).alias("segment_start")).join(parts, "part")
-    read = segments.mapInArrow(decode, "part int, seq long, doc_id long, within long, ids binary")
-    return read.join(places, ["part", "seq"]).select("doc_id", (F.col("part_start") + F.col("segment_start") + F.col("within")).alias("start"), "ids")
+    read = segments.select("part", "first", "doc_ids", "lengths", "bits", "checkpoints")
+    return read.mapInArrow(released(decode), "doc_id long, start long, " + ("n_tokens long, ids_crc32 long" if digests else "ids binary"))
 
 
 def query(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
@@ -206,4 +230,4 @@ def query(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json"
 
     path = fresh_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer), path)
-    return read_token_files(spark, path).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return read_token_files(spark, path, digests=True)
