@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,19 +12,26 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import small_batches, table
-from .encoders import encoder, word_chunks
+from .common import released, replayable, small_batches, table
+from .encoders import encoder
 
-#: Characters of text in a block, the unit in which words are counted and joined back; one longer text is a block.
-BLOCK_CHARS = 8 << 20
+#: Bytes of text after which a block ends, the unit in which words are counted and joined back; the most buckets of words.
+BLOCK_BYTES, BUCKETS = 8 << 20, 4096
+#: Words that an encoding task remembers; a partition with more distinct words encodes some of them again.
+TABLE_WORDS = 1 << 19
 #: Between a letter or digit and one of these the vocabulary always parts two words.
 _INNER_CUT = re.compile(r"(?<=[^\W_])(?=[.,;:!?*#$%&()])")
 
 
+def chunks_of(text: Column) -> Column:
+    """The parts of a text between ASCII white space, split by Spark; this vocabulary drops white space.  Null texts are empty."""
+    return F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "), " ", -1)
+
+
 def split_chunk(chunk: str) -> list[str]:
     """The words of text without white space: parts that the tokenizer encodes independently of each other.
 
@@ -44,64 +52,46 @@ def _unplanes(raw: bytes, n: int) -> np.ndarray:
 
 
 class _Block:
-    def __init__(self):
-        self.size = 0
-        self.doc_ids: list[int | None] = []
-        self.lengths: list[int] = []  # in chunks
-        self.stream: list[np.ndarray] = []
-        self.chunks: dict[str, int] = {}
+    """Some documents: their distinct chunks, of which each has its words, and the chunk at each position."""
+
+    def __init__(self, held: list[pa.RecordBatch], number: int):
+        lists = [b.column(1) for b in held]
+        self.doc_ids = pa.concat_arrays([b.column(0) for b in held])
+        self.lengths = np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in lists]).astype(np.int32)
+        coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+        self.stream = coded.indices.to_numpy()
         self.words: dict[str, int] = {}
-        self.parts: list[list[int]] = []  # of each chunk, in words
-
-    def add(self, doc_id: int | None, text: str) -> None:
-        chunks, of = word_chunks(text), self.chunks
-        at = list(map(of.get, chunks))
-        i = 0
-        for _ in range(at.count(None)):
-            i = at.index(None, i)
-            k = of.get(chunks[i])
-            if k is None:
-                k = of[chunks[i]] = len(of)
-                self.parts.append([self.words.setdefault(w, len(self.words)) for w in split_chunk(chunks[i])])
-            at[i] = k
-        self.doc_ids.append(doc_id)
-        self.lengths.append(len(at))
-        self.stream.append(np.array(at, np.int64))
-        self.size += len(text)
-
-    def key(self, number: int) -> int:
-        """Of the place and of the words: were a block read differently the second time, it would not find its words."""
-        state = xxhash.xxh64(f"{TaskContext.get().partitionId()} {number} {len(self.doc_ids)}")
-        for w in self.words:
-            state.update(w.encode("utf-8", "surrogatepass") + b"\n")
-        return state.intdigest() - (1 << 63)
+        self.parts = [[self.words.setdefault(w, len(self.words)) for w in split_chunk(c)] for c in coded.dictionary.to_pylist()]
+        # of the place and of the words: were a block read differently the second time, it would not find its words
+        state = xxhash.xxh64(f"{TaskContext.get().partitionId()} {number} {len(self.lengths)}")
+        state.update("\n".join(self.words).encode("utf-8", "surrogatepass"))
+        self.key = state.intdigest() - (1 << 63)
 
     def payload(self) -> dict:
-        stream = np.concatenate(self.stream)
+        order = np.argsort(-np.bincount(self.stream, minlength=len(self.parts)), kind="stable")
         rank = np.empty(len(self.parts), np.int64)
-        order = np.argsort(-np.bincount(stream, minlength=len(self.parts)), kind="stable")
         rank[order] = np.arange(len(order))
         parts = [self.parts[i] for i in order]
         flat = np.array([w for p in parts for w in p], np.int64)
         sizes = np.array([len(p) for p in parts], np.int64)
         return {
-            "doc_ids": self.doc_ids, "lengths": self.lengths, "n_words": len(self.words),
-            "stream": _planes(rank[stream]), "n_chunks": len(sizes), "sizes": _planes(sizes), "n_parts": len(flat), "parts": _planes(flat),
+            "block": [self.key], "doc_ids": [self.doc_ids], "lengths": [self.lengths], "n_words": [len(self.words)],
+            "stream": [_planes(rank[self.stream])], "n_chunks": [len(sizes)], "sizes": [_planes(sizes)], "n_parts": [len(flat)], "parts": [_planes(flat)],
         }
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Block]]:
-    block, number = _Block(), 0
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+    held: list[pa.RecordBatch] = []
+    size = number = 0
     for b in batches:
-        for at in range(0, b.num_rows, 256):
-            cols = b.slice(at, 256)
-            for doc_id, text in zip(cols.column(0).to_pylist(), cols.column(1).to_pylist(), strict=True):
-                if block.doc_ids and block.size + len(text or "") > BLOCK_CHARS:
-                    yield block.key(number), block
-                    block, number = _Block(), number + 1
-                block.add(doc_id, text or "")
-    if block.doc_ids:
-        yield block.key(number), block
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+        if size >= BLOCK_BYTES:
+            yield _Block(held, number)
+            held, size, number = [], 0, number + 1
+    if held:
+        yield _Block(held, number)
 
 
 PAYLOAD = "block long, doc_ids array<long>, lengths array<int>, n_words int, stream binary, n_chunks int, sizes binary, n_parts int, parts binary"
@@ -119,23 +109,26 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Per document: doc_id and ids (array<int>), as the tokenizer gives them, without special tokens of its own.
 
-    Texts are split into words, which the vocabulary encodes independently.  The distinct words of every block of
-    documents go to buckets by hash, a compressed row for each bucket of a block.  There the distinct words of all
-    blocks are encoded, each one once, and the ids go back to the blocks, which put them at the positions of their
-    words.  What is shuffled is the blocks' few distinct words and, compressed, the positions: neither texts nor a row
-    for each word.  With many more partitions, blocks should be larger, lest a bucket has but few of a block's words.
+    Spark splits texts into chunks between white space, whose words the vocabulary encodes independently.  The distinct
+    words of every block of documents go to buckets by hash, a compressed row for each bucket of a block.  There the
+    distinct words of all blocks are encoded, each one once, and the ids go back to the blocks, which put them at the
+    positions of their words.  What is shuffled is the blocks' few distinct words and, compressed, the positions:
+    neither texts nor a row for each word.  There are at most BUCKETS buckets, so that a block's rows are bounded.
+
+    Documents are read twice, for words and for positions.  Both readings must find the same blocks, also after an
+    executor is lost: docs that aren't a plain scan of files are written to the shared folder first.
 
     Null and empty texts have no ids.  Null or repeated doc_ids are rows like others.  Only doc_id and text are read,
     so that other columns may have any name.  An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = replayable(docs.select("doc_id", "text"), "bpe-documents").select(F.col("doc_id").cast("long").alias("doc_id"), chunks_of(F.col("text")).alias("chunks"))
 
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = 2 * partitions
+    n_buckets = min(2 * partitions, BUCKETS)
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, block in _blocks(batches):
+        for block in _blocks(batches):
             words = list(block.words)
             bucket = np.fromiter((xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) % n_buckets for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
@@ -145,31 +138,41 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 places = order[edges[i] : edges[i + 1]]
                 if len(places):
                     text = "\n".join([words[k] for k in places]).encode("utf-8", "surrogatepass")  # no word has a line feed
-                    rows.append({"block": key, "bucket": i, "n": len(places), "places": _planes(places), "size": len(text), "words": pa.compress(text, "zstd", asbytes=True)})
+                    rows.append({"block": block.key, "bucket": i, "n": len(places), "places": _planes(places), "size": len(text), "words": pa.compress(text, "zstd", asbytes=True)})
             yield pa.RecordBatch.from_pylist(rows, schema=_WORDS_ARROW)
 
     def payload_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, block in _blocks(batches):
-            row = {"block": key, **block.payload()}
-            yield pa.RecordBatch.from_pylist([row], schema=_PAYLOAD_ARROW)
+        for block in _blocks(batches):
+            row = block.payload()
+            yield pa.RecordBatch.from_arrays([pa.array(row[f.name], f.type) for f in _PAYLOAD_ARROW], schema=_PAYLOAD_ARROW)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_of: dict[str, list[int]] = {}  # the distinct words of this partition's buckets
         of = encoder(tokenizer_path, "word")
+        known: dict[str, int] = {}  # the distinct words of this partition's buckets, by their place in starts and sizes
+        flat, starts, lengths = array("I"), array("q"), array("q")
         for b in batches:
             for row in b.to_pylist():
+                if len(known) > TABLE_WORDS:
+                    known.clear()
+                    flat, starts, lengths = array("I"), array("q"), array("q")
                 words = pa.decompress(row["words"], row["size"], "zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\n")
-                for w in words:
-                    if w not in table_of:
-                        table_of[w] = of.encode_chunk(w)
-                ids = [table_of[w] for w in words]
-                flat = np.array([i for x in ids for i in x], np.int64)
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                out = {"block": row["block"], "n": row["n"], "places": row["places"], "sizes": _planes(sizes), "n_ids": len(flat), "ids": _planes(flat)}
+                at = list(map(known.get, words))
+                if None in at:
+                    new = [i for i, x in enumerate(at) if x is None]
+                    ids, sizes = of.encode_chunks(pa.array([words[i] for i in new], pa.string()))
+                    starts.frombytes((len(flat) + np.cumsum(sizes) - sizes).tobytes())
+                    flat.frombytes(ids.tobytes())
+                    for k, i in enumerate(new, len(lengths)):
+                        at[i] = known[words[i]] = k
+                    lengths.frombytes(sizes.tobytes())
+                at = np.array(at)
+                sizes = np.array(lengths, np.int64)[at]
+                ids = np.array(flat, np.uint32)[_ragged(np.array(starts, np.int64)[at], sizes)]
+                out = {"block": row["block"], "n": row["n"], "places": row["places"], "sizes": _planes(sizes), "n_ids": len(ids), "ids": _planes(ids)}
                 yield pa.RecordBatch.from_pylist([out], schema=_IDS_ARROW)
 
-    words = docs.mapInArrow(words_of, "block long, bucket int, n int, places binary, size int, words binary").repartition(partitions, "bucket")
-    known = words.mapInArrow(encode, "block long, n int, places binary, sizes binary, n_ids int, ids binary")
+    words = docs.mapInArrow(released(words_of), "block long, bucket int, n int, places binary, size int, words binary").repartition(partitions, "bucket")
+    known = words.mapInArrow(released(encode), "block long, n int, places binary, sizes binary, n_ids int, ids binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -203,7 +206,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
         return pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=schema) for b in out], schema)
 
-    payload = docs.mapInArrow(payload_of, PAYLOAD)
+    payload = docs.mapInArrow(released(payload_of), PAYLOAD)
     return payload.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>")
 
 
@@ -253,7 +256,7 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
                 text = pc.if_else(ids.is_null(), pa.scalar(None, pa.string()), text)
                 yield pa.RecordBatch.from_arrays([*cols.columns, text], [*cols.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(released(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
