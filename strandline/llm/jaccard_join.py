@@ -10,33 +10,29 @@ no link of their own.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import salted_join, small_batches, store, table
+from .common import give_back, released, salted_join, small_batches, store, table
+from .encoders import translated
 from .graph import components
 
-#: Shingles of a search task; the words a worker remembers; the frequent shingles that are put last; bits of the filter.
-TASK_SHINGLES, MEMO_WORDS, FREQUENT, FILTER_BITS = 1 << 20, 1 << 18, 1 << 17, 1 << 24
+#: Shingles of a search task; the frequent shingles that are put last; bits of the filter; bytes of text that are shingled at a time.
+TASK_SHINGLES, FREQUENT, FILTER_BITS, SLICE_BYTES = 1 << 19, 1 << 17, 1 << 24, 1 << 20
+#: Shingles among which those are sought that several sets hold: one in 131,072 of all comes up there eight times.
+COUNTED = 1 << 20
 #: Lists of frequent shingles are dealt out by so many salts; lists of so many members at most are paired.
 SALTS, SHORT = 64, 16
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_WORD_HASHES = _WordHashes()
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 #: Odd factors of the places in a shingle, powers of the 64-bit golden ratio.
@@ -50,26 +46,57 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S)
 
 
-def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of `size` words; of all words as one, where there are fewer.
+#: A-Z in lower case, and all ASCII white space as blanks.
+_WORDS = np.array([c + 32 if 65 <= c <= 90 else 32 if c in b" \t\n\x0b\x0c\r" else c for c in range(256)], np.uint8)
 
-    Words stand between ASCII white space, with A-Z in lower case.  Texts without words have the empty set.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.array(list(map(_WORD_HASHES.__getitem__, words)), np.uint64)
-    n = min(size, len(words))
-    total = np.full(len(words) - n + 1, n, np.uint64)
-    for i in range(n):
-        total += h[i : i + len(total)] * np.uint64(_FACTORS[i])
-    total = np.sort(_mix(total))
-    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
+def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its runs of `size` words; of all words as one, where there are fewer.
 
-def _node(found: np.ndarray) -> int:
-    """A set's own hash, signed; of n different sets two share one with a chance of n^2 / 2^65."""
-    return xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
+    Words stand between ASCII white space, with A-Z in lower case.  Texts without words have the empty set.
+    """
+    n_bytes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(n_bytes, (n_bytes[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield from _sets(pc.split_pattern(translated(texts.slice(at, end - at), _WORDS), " "), size)
+        at = end
+
+
+def _sets(lists: pa.ListArray, size: int) -> Iterator[np.ndarray]:
+    coded = lists.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
+    found = coded.indices.to_numpy()
+    edges = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
+    if "" in names:  # between two blanks stands no word
+        word = found != names.index("")
+        edges = np.concatenate([[0], np.cumsum(word)])[edges]
+        found = found[word]
+    h = hashes[found]
+    runs = np.full(max(0, len(h) - size + 1), size, np.uint64)
+    for i in range(size):
+        runs += h[i : i + len(runs)] * np.uint64(_FACTORS[i])
+    runs = _mix(runs)
+    for begin, end in itertools.pairwise(edges.tolist()):
+        if end - begin >= size:
+            total = np.sort(runs[begin : end - size + 1])
+            yield total[np.concatenate([[True], total[1:] != total[:-1]])]
+        elif end > begin:
+            n = end - begin
+            yield _mix(np.array([(n + sum(int(x) * f for x, f in zip(h[begin:end], _FACTORS, strict=False))) % (1 << 64)], np.uint64))
+        else:
+            yield np.zeros(0, np.uint64)
+
+
+def _node(found: np.ndarray, clashes: frozenset[int] = frozenset()) -> int:
+    """The name of a set: its own hash, signed.  Where different sets have one hash, a second hash stands for it."""
+    name = xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
+    return _second(found) if name in clashes else name
+
+
+def _second(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes(), 1) - (1 << 63)
 
 
 def needed(n: np.ndarray | int, percent: int):
@@ -137,15 +164,15 @@ def t_occurrence_links(sets: list[np.ndarray], percent: int = 75, labels: np.nda
     rank = np.empty(m, np.int64)
     rank[order] = np.arange(m)
     n, asks, state = n[order], asks[order], _Union(labels[order])
-    owner = np.repeat(np.arange(m), n)
+    owner = np.repeat(np.arange(m, dtype=np.int32), n)
     flat = np.concatenate([sets[i] for i in order]) if m else np.zeros(0, np.uint64)
     by = np.argsort(flat, kind="stable")
     flat, postings = flat[by], owner[by]  # inverted lists, each in order of the sets
     begins = np.nonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))[0] if len(flat) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(begins, len(flat)))
-    token = np.repeat(np.arange(len(begins)), sizes)
-    of_set = np.empty(len(flat), np.int64)
-    of_set[by] = token
+    of_set = np.empty(len(flat), np.int32)
+    of_set[by] = np.repeat(np.arange(len(begins), dtype=np.int32), sizes)
+    del by, owner, flat
     edges = np.concatenate([[0], np.cumsum(n)])
     out = []
     for q in range(m):
@@ -214,32 +241,36 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of documents (doc_id, n, node), and of shingles that several sets of some documents hold (hash, times)."""
-        names, kinds = ["of_document", "a", "n", "node"], [pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+        names, kinds = ["of_document", "a", "n", "node", "second"], [pa.bool_(), *[pa.int64()] * 4]
         seen: set[int] = set()
         held: list[np.ndarray] = []
 
         def several() -> pa.RecordBatch:
             flat, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             flat, times = _signed(flat[times > 2]), times[times > 2]
-            return pa.RecordBatch.from_arrays([pa.array([False] * len(flat), kinds[0]), pa.array(flat), pa.array(times, pa.int64()), pa.nulls(len(flat), pa.int64())], names)
+            return pa.RecordBatch.from_arrays([pa.array([False] * len(flat), kinds[0]), pa.array(flat), pa.array(times, pa.int64()), *[pa.nulls(len(flat), pa.int64())] * 2], names)
 
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 cols = b.slice(at, 256)
-                sets = [shingle_set(t, size) for t in cols.column(1).to_pylist()]
-                nodes = [_node(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([True] * len(sets), kinds[0]), cols.column(0).cast(pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(nodes, pa.int64())], names)
+                sets = list(shingle_sets(cols.column(1), size))
+                nodes, seconds = ([f(s) if len(s) else None for s in sets] for f in (_node, _second))
+                yield pa.RecordBatch.from_arrays([pa.array([True] * len(sets), kinds[0]), cols.column(0).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (map(len, sets), nodes, seconds))], names)
                 for s, node in zip(sets, nodes, strict=True):
                     if node is not None and node not in seen:
                         seen.add(node)
                         held.append(s)
-                if sum(map(len, held)) > 2 * TASK_SHINGLES:
+                if sum(map(len, held)) > COUNTED:
                     yield several()
                     held.clear()
         yield several()
 
-    found = store(docs.mapInArrow(summaries, "of_document boolean, a long, n long, node long"), "jaccard-documents")
-    documents = found.where("of_document").select(F.col("a").alias("doc_id"), "n", "node")
+    found = store(docs.mapInArrow(released(summaries), "of_document boolean, a long, n long, node long, second long"), "jaccard-documents")
+    # of n different sets n^2 / 2^65 pairs have one hash: a few at the most, which get their second hash as name
+    clash = found.where("node is not null").groupBy("node").agg(F.min("second").alias("x"), F.max("second").alias("y")).where("x <> y")
+    clashes = frozenset(r.node for r in clash.select("node").collect())
+    name = F.when(F.col("node").isin(*clashes), F.col("second")).otherwise(F.col("node")) if clashes else F.col("node")
+    documents = found.where("of_document").select(F.col("a").alias("doc_id"), "n", name.alias("node"))
     often = found.where("not of_document").groupBy("a").agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "a").limit(FREQUENT).toPandas()
     often = often.sort_values(["times", "a"], kind="stable")
     frequent = often["a"].to_numpy(np.int64).view(np.uint64)
@@ -251,9 +282,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 hashes, salts, nodes, asks = [], [], [], []
-                for text in b.column(1).slice(at, 256).to_pylist():
-                    s = shingle_set(text, size)
-                    if not len(s) or (node := _node(s)) in seen:
+                for s in shingle_sets(b.column(1).slice(at, 256), size):
+                    if not len(s) or (node := _node(s, clashes)) in seen:
                         continue
                     seen.add(node)
                     first, rare = prefix(s, frequent, rank, percent)
@@ -266,7 +296,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["hash", "salt", "node", "share"])
 
     lists = Window.partitionBy("hash", "salt")
-    rows = docs.mapInArrow(prefixes, "hash long, salt int, node long, share int")
+    rows = docs.mapInArrow(released(prefixes), "hash long, salt int, node long, share int")
     # copies in several partitions may have brought a row several times
     together = rows.withColumn("low", F.min("node").over(lists)).withColumn("high", F.max("node").over(lists))
     shared = store(together.where("low <> high or salt > 0").select("hash", "salt", "node", "share").distinct(), "jaccard-prefixes")
@@ -274,7 +304,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
 
     sizes = documents.where("node is not null").select("node", "n").distinct()
     members = store(cluster_of.join(sizes, "node").select("node", "n", F.col("component").alias("cluster")), "jaccard-members")
-    sets = store(_sets_of(docs, members, size), "jaccard-sets")
+    sets = store(_sets_of(docs, members, size, clashes), "jaccard-sets")
     links = _search(members, sets, percent)
     component = components(links)
 
@@ -309,7 +339,7 @@ def _candidates(shared: DataFrame) -> DataFrame:
     return pairs.union(stars)
 
 
-def _sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+def _sets_of(docs: DataFrame, members: DataFrame, size: int, clashes: frozenset[int]) -> DataFrame:
     """node and set (binary) of the members; a bit filter of fixed size keeps most others from being sent at all."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +348,7 @@ def _sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
             bits[b.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
-    parts = members.select("node").coalesce(4).mapInArrow(mark, "bits binary").collect()
+    parts = members.select("node").coalesce(4).mapInArrow(released(mark), "bits binary").collect()
     packed = np.bitwise_or.reduce([np.zeros(FILTER_BITS // 8, np.uint8), *(np.frombuffer(r.bits, np.uint8) for r in parts)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,9 +356,8 @@ def _sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 nodes, sets = [], []
-                for text in b.column(1).slice(at, 256).to_pylist():
-                    s = shingle_set(text, size)
-                    if not len(s) or (node := _node(s)) in seen:
+                for s in shingle_sets(b.column(1).slice(at, 256), size):
+                    if not len(s) or (node := _node(s, clashes)) in seen:
                         continue
                     seen.add(node)
                     place = (node % (1 << 64)) % FILTER_BITS
@@ -337,7 +366,7 @@ def _sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
                         sets.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
 
-    return docs.mapInArrow(run, "node long, set binary")
+    return docs.mapInArrow(released(run), "node long, set binary")
 
 
 def _search(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -381,6 +410,8 @@ def _run(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         raw = rows.column("set").take(pa.array(once)).to_pylist()
         found = t_occurrence_links([np.frombuffer(s, np.uint64) for s in raw], percent, label[once], asks[once])
         a, b = np.array([x for x, _ in found], np.int64), np.array([y for _, y in found], np.int64)
+        del raw, rows
+        give_back()
         return pa.table({"a": pa.array(node[once][a], pa.int64()), "b": pa.array(node[once][b], pa.int64())})
 
     return tasks.join(sets, "node").groupBy("task", "block").applyInArrow(links, "a long, b long")
