@@ -15,8 +15,11 @@ from strandline.llm.word_bpe import decode_documents, digests, encode_documents
 
 def _keep(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Rows of docs whose doc_id is (left_semi) or isn't (left_anti) in ids, a table of one column; null equals null."""
-    ids = ids.toDF("kept_id").distinct()
-    return docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), how)
+    name = "kept_id"
+    while name in docs.columns:
+        name += "_"
+    ids = ids.toDF(name).distinct()
+    return docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(name)), how)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,11 +29,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines that many documents hold; n_chars follows the text where it has lost any, null texts stay null."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    marked = docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("no_text"), *others).alias("others"))
-    found = dedup_lines(marked, carry=("others",)).select("doc_id", "n_dropped", "text", "carried.others.*")
-    values = {"text": F.when(~F.col("no_text"), F.col("text")), "n_chars": F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))}
-    return found.select(*(values[c].alias(c) if c in values else F.col(c) for c in docs.columns))
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    marked = docs.select("doc_id", "text", others.alias("others"), F.col("text").isNull().alias("no_text"))
+    found = dedup_lines(marked, carry=("others", "no_text"))
+    lost, before = F.col("n_dropped") > 0, lambda c: F.col("carried")["others"][c]
+    values = {"text": F.when(~F.col("carried")["no_text"], F.col("text"))}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.when(lost, F.char_length("text").cast("long")).otherwise(before("n_chars"))
+    return found.select(*((values[c] if c in values else before(c)).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
