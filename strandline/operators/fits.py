@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .grid import QUEEN, shifted
+from .grid import shifted
 from .patches import grouped
+from .sampling import may_checkpoint
+
+#: Steps to the neighbours of a cell, the nearest first; ties in the order of rows, then columns.
+NEAREST = sorted(((a, b) for a in range(-3, 4) for b in range(-3, 4) if 0 < a * a + b * b <= 9), key=lambda s: (s[0] ** 2 + s[1] ** 2, s))
 
 
 def unit_scaled(profile: DataFrame, x: str, y: str, keys=("tid",)) -> DataFrame:
@@ -92,20 +96,23 @@ def sigmoid_abruptness(profile: DataFrame, x: str = "x", y: str = "y", keys=("ti
     return grouped(s, list(keys), kernel, "x05 double, x50 double, x95 double, width double, slope double, r2 double, aic double, delta_aic double, best string")
 
 
-def binomial_glm(rows: DataFrame, x: str, y: str, link: str = "logit", keys=("tid",), iterations: int = 8) -> DataFrame:
-    """keys, b0, b1: iteratively reweighted least squares of a binary y on x, every round one grouped sum.
+def binomial_glm(rows: DataFrame, x: str, y: str, link: str = "logit", keys=("tid",), most: int = 50, tolerance: float = 1e-9) -> DataFrame:
+    """keys, b0, b1, rounds, converged: iteratively reweighted least squares of a binary y on x, every round one grouped sum.
 
-    The rows are read once a round, but only sums are shuffled; coefficients come back by a join on the group, so that
-    no group is gathered in one place.  Groups whose weights vanish keep their last coefficients.
+    The rows are stored once and read once a round, but only sums are shuffled; coefficients come back by a join on the
+    group, so that no group is gathered in one place.  Each round's coefficients are stored; rounds end when no group's
+    moves by more than the tolerance, or after `most` rounds: groups that still move (a perfect split has no optimum)
+    are not converged.  Groups whose weights vanish keep their last coefficients.
     """
     if link not in ("logit", "cloglog"):
         raise ValueError(f"unknown link {link!r}")
     k = list(keys)
-    data = rows.select(*k, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    may_checkpoint(rows.sparkSession)
+    data = rows.select(*k, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null").checkpoint()
     mean = data.groupBy(*k).agg(F.avg("y").alias("m")).where("m > 0 and m < 1")
     first = F.log(F.col("m") / (1 - F.col("m"))) if link == "logit" else F.log(-F.log(1 - F.col("m")))
     beta = mean.select(*k, first.alias("b0"), F.lit(0.0).alias("b1"))
-    for _ in range(iterations):
+    for n_round in range(1, most + 1):
         eta = F.greatest(F.lit(-30.0), F.least(F.lit(30.0 if link == "logit" else 3.0), F.col("b0") + F.col("b1") * F.col("x")))
         now = data.join(beta, k).withColumn("eta", eta)
         if link == "logit":
@@ -121,7 +128,12 @@ def binomial_glm(rows: DataFrame, x: str, y: str, link: str = "logit", keys=("ti
         sums = now.groupBy(*k).agg(F.sum(w).alias("sw"), F.sum(w * F.col("x")).alias("sx"), F.sum(w * F.col("x") * F.col("x")).alias("sxx"), F.sum(w * z).alias("sz"), F.sum(w * F.col("x") * z).alias("sxz"), F.first("b0").alias("p0"), F.first("b1").alias("p1"))
         det = F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx")
         ok = det > 1e-12
-        beta = sums.select(*k, F.when(ok, (F.col("sxx") * F.col("sz") - F.col("sx") * F.col("sxz")) / det).otherwise(F.col("p0")).alias("b0"), F.when(ok, (F.col("sw") * F.col("sxz") - F.col("sx") * F.col("sz")) / det).otherwise(F.col("p1")).alias("b1"))
+        b0, b1 = (F.col("sxx") * F.col("sz") - F.col("sx") * F.col("sxz")) / det, (F.col("sw") * F.col("sxz") - F.col("sx") * F.col("sz")) / det
+        found = sums.select(*k, F.when(ok, b0).otherwise(F.col("p0")).alias("b0"), F.when(ok, b1).otherwise(F.col("p1")).alias("b1"), "p0", "p1")
+        still = lambda b, p: F.abs(F.col(b) - F.col(p)) <= tolerance * (1 + F.abs(b))
+        beta = found.select(*k, "b0", "b1", F.lit(n_round).alias("rounds"), (still("b0", "p0") & still("b1", "p1")).alias("converged")).checkpoint()
+        if beta.where("not converged").isEmpty():
+            break
     return beta
 
 
@@ -233,33 +245,50 @@ def bernoulli_performance(scored: DataFrame, p: str = "p", y: str = "y", keys=("
 
 
 def morans_i(cells: DataFrame, value: str, keys=("tid",)) -> DataFrame:
-    """keys, morans_i: queen neighbours, weights 1; value centred by its mean."""
+    """keys, morans_i: the eight nearest neighbours of each cell (NEAREST), weights that add up to 1; value centred by its mean.
+
+    Weights made symmetric give the same statistic.  Cells without a value are no neighbours; a cell with fewer than
+    eight within NEAREST has weights over those that there are.
+    """
     k = list(keys)
     mean = cells.groupBy(*k).agg(F.avg(value).alias("m"))
     dev = cells.where(F.col(value).isNotNull()).join(mean, k).select(*k, "r", "c", (F.col(value) - F.col("m")).alias("d"))
-    near = shifted(dev, QUEEN, keys, (F.col("d").alias("d0"),)).join(dev, [*k, "r", "c"])
-    cross = near.groupBy(*k).agg(F.sum(F.col("d0") * F.col("d")).alias("num"), F.count("*").alias("w"))
+    near = shifted(dev, NEAREST, keys, (F.col("d").alias("d0"),)).join(dev, [*k, "r", "c"])
+    order = Window.partitionBy(*k, "from_r", "from_c").orderBy(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc"), "dr", "dc")
+    eight = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 8)
+    lagged = eight.groupBy(*k, "from_r", "from_c").agg((F.first("d0") * F.avg("d")).alias("cross"))
+    cross = lagged.groupBy(*k).agg(F.sum("cross").alias("num"), F.count("*").alias("w"))
     total = dev.groupBy(*k).agg(F.sum(F.col("d") * F.col("d")).alias("den"), F.count("*").alias("n"))
     return cross.join(total, k).where("den > 0").select(*k, (F.col("n") / F.col("w") * F.col("num") / F.col("den")).alias("morans_i"))
 
 
+def nearest_eight(r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct cells: indices of the (at most) eight nearest within NEAREST, and which of the eight there are."""
+    n, width = len(r), int(c.max() - c.min()) + 7
+    at = r.astype(np.int64) * width + c
+    by = np.argsort(at)
+    place, found = np.zeros((n, 8), np.int64), np.zeros(n, np.int64)
+    for dr, dc in NEAREST:
+        want = at + dr * width + dc
+        there = np.minimum(np.searchsorted(at[by], want), n - 1)
+        hit = np.nonzero((at[by][there] == want) & (found < 8))[0]
+        place[hit, found[hit]] = by[there[hit]]
+        found[hit] += 1
+    return place, np.arange(8) < found[:, None]
+
+
 def morans_p(cells: DataFrame, value: str, permutations: int = 199, keys=("tid",), seed: int = 123) -> DataFrame:
     """keys, morans_i, p: the share of seeded permutations that reach the observed statistic."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["r", "c"], kind="stable")
-        r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
-        grid = np.zeros((r.max() - r.min() + 3, c.max() - c.min() + 3))
-        held = np.zeros_like(grid)
-        y, x = r - r.min() + 1, c - c.min() + 1
-        held[y, x] = 1
-        shifts = [(a, b) for a, b in QUEEN]
+        near, there = nearest_eight(pdf["r"].to_numpy(), pdf["c"].to_numpy())
         d = pdf["d"].to_numpy() - pdf["d"].mean()
-        weight = sum(np.roll(held, s, (0, 1))[y, x] for s in shifts).sum()
+        share = there / np.maximum(1, there.sum(1, keepdims=True))
+        weight = share.sum()
 
         def stat(v: np.ndarray) -> float:
-            grid[y, x] = v
-            return len(v) / weight * float((v * sum(np.roll(grid, s, (0, 1))[y, x] for s in shifts)).sum()) / float((v * v).sum())
+            return len(v) / weight * float((v * (v[near] * share).sum(1)).sum()) / float((v * v).sum())
 
         if not (d * d).sum() or not weight:
             return pd.DataFrame({"morans_i": [math.nan], "p": [math.nan]})

@@ -129,9 +129,116 @@ def t_quantile(p: float, n: int) -> float:
 
 
 def retro_power(rows: DataFrame, keys=("tid",), effect: float = 0.2, level: float = 0.95) -> DataFrame:
-    """Power to find a mean difference of `effect`, by the quantile `level` of Student's t for each group's number of rows."""
+    """Power to find a mean difference of `effect`: 1 - (1 + erf((t - effect sqrt(n) / s) / (sqrt(2) s))) / 2.
+
+    n and s are the number and the standard deviation of a group's differences, t the quantile `level` of Student's t
+    with n degrees of freedom.  Groups of fewer than two differences or without spread have no row.
+    """
     d = F.col("t1") + F.col("t2")
     s = rows.groupBy(*keys).agg(F.stddev_samp(d).alias("s"), F.count(d).alias("n"))
-    t_crit = F.udf(lambda n: t_quantile(level, n - 1) if n > 1 else None, "double")(F.col("n"))
-    x = (t_crit - effect * F.sqrt(F.col("n").cast("double")) / F.col("s")) / math.sqrt(2)
+    t_crit = F.udf(lambda n: t_quantile(level, n), "double")(F.col("n"))
+    x = (t_crit - effect * F.sqrt(F.col("n").cast("double")) / F.col("s")) / (math.sqrt(2) * F.col("s"))
     return s.where("s > 0").select(*keys, "n", (1 - (1 + erf(x)) / 2).alias("power"))
+
+
+def _normal_quantile(p: float) -> float:
+    from statistics import NormalDist
+
+    return NormalDist().inv_cdf(min(1 - 1e-16, max(1e-300, p)))
+
+
+def optimal_block(x, most: int | None = None) -> float:
+    """The mean block length of the stationary bootstrap by Politis and White's rule, as corrected by Patton in 2009.
+
+    Autocorrelations count up to twice the first lag behind which K of them in a row are insignificant, with a flat-top
+    window; the length is between 1 and min(3 sqrt(n), n / 3).
+    """
+    import numpy as np
+
+    x = np.asarray(x, float)
+    n = len(x)
+    if n < 4 or x.std() == 0:
+        return 1.0
+    k = max(5, math.ceil(math.log10(n)))
+    m_max, b_max = math.ceil(math.sqrt(n)) + k, math.ceil(min(3 * math.sqrt(n), n / 3))
+    d = x - x.mean()
+    cov = np.array([float((d[: n - i] * d[i:]).sum()) / n for i in range(min(n, m_max + 1))])
+    rho = cov / cov[0]
+    small = np.abs(rho[1:]) < 2 * math.sqrt(math.log10(n) / n)
+    runs = [i for i in range(len(small) - k + 1) if small[i : i + k].all()]
+    if runs:
+        m = runs[0]  # the lags before are significant
+    else:
+        large = np.nonzero(~small)[0]
+        m = int(large[-1]) + 1 if len(large) else 0
+    big = min(max(1, 2 * m), len(cov) - 1)
+    lags = np.arange(-big, big + 1)
+    t = np.abs(lags) / big
+    flat = np.where(t <= 0.5, 1.0, np.where(t <= 1, 2 * (1 - t), 0.0))
+    r = cov[np.abs(lags)]
+    g, d_sb = float((flat * np.abs(lags) * r).sum()), 2 * float((flat * r).sum()) ** 2
+    if d_sb <= 0:
+        return 1.0
+    return float(min(max(1.0, (2 * g * g / d_sb) ** (1 / 3) * n ** (1 / 3)), most or b_max))
+
+
+def advancement_tests(rows: DataFrame, replicates: int = 100_000, levels: tuple[float, ...] = (0.95, 0.99, 0.999), keys=("tid",), seed: int = 123) -> DataFrame:
+    """Two bootstraps of the mean difference t1 + t2 of a group's rows, in the order of r; a group is one band.
+
+    keys, n, t0; for iid: mean, bias and se of the replicates, bias-corrected and accelerated limits at each level, ci0_p
+    (one less the highest level whose interval doesn't hold 0) and freq_p (the share of replicates on the other side of
+    0; 1 if t0 is 0).  For dep the same of a stationary bootstrap: circular blocks of geometric lengths, whose mean is
+    rounded from optimal_block(), and percentile limits.  Rows with a missing difference are left out; groups of fewer
+    than two differences or without spread have t0 only.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from .patches import grouped
+
+    tail = [f"{p}_{side}_{round(1000 * x)}" for p in ("iid", "dep") for x in levels for side in ("low", "high")]
+    names = ["t0", "bstar", *(f"{p}_{x}" for p in ("iid", "dep") for x in ("mean", "bias", "se", "ci0_p", "freq_p")), *tail]
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("r", kind="stable")["delta"].to_numpy(float)
+        n, rng = len(x), np.random.default_rng(seed)
+        out: dict = {"n": n} | dict.fromkeys(names, math.nan)
+        t0 = float(x.mean())
+        out["t0"] = t0
+        if n < 2 or x.std() == 0:
+            return pd.DataFrame([out])
+        length = float(max(1, min(n, round(optimal_block(x)))))
+        out["bstar"] = length
+        draws: dict[str, list] = {"iid": [], "dep": []}
+        for begin in range(0, replicates, 2000):
+            size = (min(2000, replicates - begin), n)
+            draws["iid"].append(x[rng.integers(0, n, size)].mean(1))
+            # a new block begins with a chance of 1 / length; otherwise the next place follows, around the end
+            fresh = rng.random(size) < 1 / length
+            fresh[:, 0] = True
+            place = rng.integers(0, n, size)
+            since = np.maximum.accumulate(np.where(fresh, np.arange(n), 0), axis=1)
+            draws["dep"].append(x[(np.take_along_axis(place, since, 1) + np.arange(n) - since) % n].mean(1))
+        left = np.array([(x.sum() - v) / (n - 1) for v in x])  # without one row each
+        gap = left.mean() - left
+        accel = float((gap**3).sum() / (6 * max(1e-300, (gap**2).sum()) ** 1.5))
+        for p, parts in draws.items():
+            t = np.concatenate(parts)
+            z0 = _normal_quantile(float((t < t0).mean()) if (t < t0).any() else 0.5 / len(t))
+            held = []
+            for level in levels:
+                ends = [(1 - level) / 2, (1 + level) / 2]
+                if p == "iid":
+                    z = [z0 + _normal_quantile(a) for a in ends]
+                    ends = [0.5 * (1 + math.erf((z0 + v / (1 - accel * v)) / math.sqrt(2))) for v in z]
+                low, high = np.quantile(t, ends)
+                out[f"{p}_low_{round(1000 * level)}"], out[f"{p}_high_{round(1000 * level)}"] = low, high
+                held.append(low <= 1e-9 < high)
+            beyond = [level for level, h in zip(levels, held, strict=True) if not h]
+            other = (t <= 1e-9) if t0 > 1e-9 else (t >= -1e-9) if t0 < -1e-9 else np.ones(len(t), bool)
+            out |= {f"{p}_mean": t.mean(), f"{p}_bias": t.mean() - t0, f"{p}_se": t.std(ddof=1), f"{p}_ci0_p": 1 - max(beyond, default=0.0), f"{p}_freq_p": other.mean()}
+        return pd.DataFrame([out])
+
+    k = list(keys)
+    delta = rows.where("t1 is not null and t2 is not null").select(*k, "r", (F.col("t1") + F.col("t2")).alias("delta"))
+    return grouped(delta, k, kernel, ", ".join(["n long", *(f"{x} double" for x in names)]))

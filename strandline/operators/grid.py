@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.aggregates import majority
 
@@ -50,12 +54,15 @@ def shifted(cells: DataFrame, offsets, keys=("tid",), columns=()) -> DataFrame:
 
 
 def abutting(cells: DataFrame, a: str = "veg1", b: str = "veg2", keys=("tid",)) -> DataFrame:
-    """Cells of one type that have a rook neighbour of the other: keys, r, c."""
-    both = []
-    for x, y in ((a, b), (b, a)):
-        near = shifted(cells.where(F.col(y) == 1), ROOK, keys).select(*keys, "r", "c").distinct()
-        both.append(cells.where(F.col(x) == 1).select(*keys, "r", "c").join(near, [*keys, "r", "c"], "left_semi"))
-    return both[0].union(both[1]).distinct()
+    """Cells of one type that have a rook neighbour of the other: keys, r, c; two window passes and no join.
+
+    Places are distinct; those that the grid lacks are nobody's neighbour.
+    """
+    across, down = Window.partitionBy(*keys, "r").orderBy("c"), Window.partitionBy(*keys, "c").orderBy("r")
+    flags = cells.select(*keys, "r", "c", F.coalesce(F.col(a) == 1, F.lit(False)).alias("a"), F.coalesce(F.col(b) == 1, F.lit(False)).alias("b"))
+    near = lambda x: reduce(or_, (F.coalesce(f(x).over(w), F.lit(False)) & (f(along).over(w) == F.col(along) + step) for w, along in ((across, "c"), (down, "r")) for f, step in ((F.lag, -1), (F.lead, 1))))
+    seen = flags.select("*", near("a").alias("near_a"), near("b").alias("near_b"))
+    return seen.where("(a and near_b) or (b and near_a)").select(*keys, "r", "c")
 
 
 def rasterise(points: DataFrame, keys=("r", "c"), value: str = "value", cls: str = "class") -> DataFrame:

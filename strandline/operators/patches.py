@@ -35,7 +35,7 @@ def label(r: np.ndarray, c: np.ndarray, offsets=QUEEN) -> np.ndarray:
         open_ = a != b
         x, y, a, b = x[open_], y[open_], a[open_], b[open_]
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while (up := parent[parent]).tolist() != parent.tolist():
+        while not np.array_equal(up := parent[parent], parent):
             parent = up
     return parent
 

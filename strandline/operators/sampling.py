@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +30,19 @@ def top_up(have: DataFrame, cells: DataFrame, n: int, seed: int = 0) -> DataFram
     return both.orderBy("new", "priority", "tid", "r", "c").limit(n).drop("new")
 
 
-def _may_checkpoint(spark: SparkSession) -> None:
-    """Spark sets its checkpoint folder from spark.checkpoint.dir; only where that is unset, as in tests, take a local one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+def may_checkpoint(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir, set for checkpoints too.
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-"))
+    Only on a local master, where there are no other machines, a temporary one may stand for it.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="strandline-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
 
 
 def inhibited_points(cells: DataFrame, radius: float, seed: int = 0) -> DataFrame:
@@ -46,7 +56,7 @@ def inhibited_points(cells: DataFrame, radius: float, seed: int = 0) -> DataFram
     left = with_priority(cells.select("tid", "r", "c").dropna(), seed).withColumn("order", F.struct("priority", "r", "c"))
     blocks = {"br": F.floor(F.col("r") / size), "bc": F.floor(F.col("c") / size)}
     kept = None
-    _may_checkpoint(cells.sparkSession)
+    may_checkpoint(cells.sparkSession)
     while True:  # a round keeps the first cell of each grid that is left, so that there is an end
         around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
         near = left.withColumns(blocks).withColumn("s", around).select("tid", (F.col("br") + F.col("s.a")).alias("br"), (F.col("bc") + F.col("s.b")).alias("bc"), F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("order").alias("order2"))

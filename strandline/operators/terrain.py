@@ -37,6 +37,12 @@ def slope_aspect(cells: DataFrame, value: str = "elev", keys=("tid",), res_m: fl
     return z.select(*keys, "r", "c", "slope", F.when(F.col("slope") >= min_slope, aspect).alias("aspect"))
 
 
+def band_aspect(cells: DataFrame, azimuth: float, min_slope: float, value: str = "elev", keys=("tid",), res_m: float = 30.0) -> DataFrame:
+    """keys, r, c, slope, aspect of a band: cells that are flatter than min_slope face the band's azimuth; border cells have none."""
+    found = slope_aspect(cells, value, keys, res_m)
+    return found.withColumn("aspect", F.when(F.col("slope") > min_slope, F.col("aspect")).when(F.col("slope").isNotNull(), azimuth))
+
+
 def tangential_curvature(cells: DataFrame, value: str = "elev", keys=("tid",), res_m: float = 30.0) -> DataFrame:
     """keys, r, c, curvature: Zevenbergen and Thorne's quadratic surface, across the slope; 0 on level ground."""
     z = neighbourhood(cells, value, keys)
@@ -53,15 +59,14 @@ def flow_direction(cells: DataFrame, value: str = "elev", keys=("tid",), uphill:
 
     Cells that nothing lies below (above) have no row.
     """
-    code = F.create_map(*(F.lit(x) for (a, b), k in FLOW_CODES.items() for x in (f"{a},{b}", k)))
-    near = shifted(cells, QUEEN, keys, (F.col(value).alias("own"),))
-    other = cells.select(*keys, "r", "c", F.col(value).alias("theirs"))
-    pairs = near.join(other, [*keys, "r", "c"]).withColumn("code", code[F.concat_ws(",", F.col("dr").cast("string"), F.col("dc").cast("string"))])
-    if uphill:
-        pairs = pairs.withColumn("score", F.col("theirs") - F.col("own")).where("score > 0").withColumn("score", -F.col("score"))
-    else:
-        pairs = pairs.withColumn("score", (F.col("own") - F.col("theirs")) / F.sqrt((F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).cast("double"))).where("score > 0")
-    return pairs.groupBy(*keys, F.col("from_r").alias("r"), F.col("from_c").alias("c")).agg(F.max(F.struct(F.col("score"), (-F.col("code")).alias("k"))).alias("best")).select(*keys, "r", "c", (-F.col("best.k")).alias("code"))
+    z = neighbourhood(cells, value, keys)
+    own = F.col("z22")
+    ways = []
+    for (dr, dc), code in FLOW_CODES.items():
+        theirs = F.col(f"z{dr + 2}{dc + 2}")
+        score = own - theirs if uphill else (own - theirs) / F.sqrt(F.lit(float(dr * dr + dc * dc)))
+        ways.append(F.when(theirs > own if uphill else theirs < own, F.struct(score.alias("score"), F.lit(-code).alias("k"))))
+    return z.select(*keys, "r", "c", F.greatest(*ways).alias("best")).where("best is not null").select(*keys, "r", "c", (-F.col("best.k")).alias("code"))
 
 
 def inverse_distance_kernel(radius: float) -> list[tuple[int, int, float]]:
@@ -83,15 +88,20 @@ def kernel_focal(cells: DataFrame, kernel: list[tuple[int, int, float]], value:
 def focal_circular(cells: DataFrame, angle: Column, window: int, keys=("tid",)) -> DataFrame:
     """keys, r, c, n, focal_mean, focal_sd of the angles in the window of odd size (even ones are raised) around each cell.
 
-    A summed-area table: running sums of sine, cosine and count along rows, then along columns, and four look-ups by
-    window functions over ranges: the cost of a cell doesn't depend on the window's size.
+    The grid is complete: a cell without an angle has a null one.  Running sums of sine, cosine and count along rows, then
+    along columns; a window's sum is the running sum at its end less that before its begin, two look-ups by place.  The
+    cost of a cell doesn't depend on the window's size.  Sums are of 64-bit integers, units of 2^-32: they are exact
+    differences, where sums of doubles would lose the small ones.  Windows without any angle have no mean.
     """
     half = (window + 1 - window % 2) // 2
-    across = Window.partitionBy(*keys, "r").orderBy("c").rangeBetween(-half, half)
-    down = Window.partitionBy(*keys, "c").orderBy("r").rangeBetween(-half, half)
-    a = cells.select(*keys, "r", "c", F.sin(angle).alias("s"), F.cos(angle).alias("k"), F.when(angle.isNotNull(), 1).otherwise(0).alias("n"))
-    rows = a.select(*keys, "r", "c", *(F.sum(x).over(across).alias(x) for x in ("s", "k", "n")))
-    both = rows.select(*keys, "r", "c", *(F.sum(x).over(down).alias(x) for x in ("s", "k", "n")))
-    mean = F.pmod(F.atan2("s", "k"), F.lit(2 * math.pi))
-    length = F.least(F.lit(1.0), F.sqrt(F.col("s") * F.col("s") + F.col("k") * F.col("k")) / F.nullif("n", F.lit(0)))
-    return both.select(*keys, "r", "c", F.col("n").cast("long").alias("n"), mean.alias("focal_mean"), F.sqrt(-2 * F.log(length)).alias("focal_sd"))
+    fixed = lambda x: F.round(F.coalesce(x, F.lit(0.0)) * float(1 << 32), 0).cast("long")
+    out = cells.select(*keys, "r", "c", fixed(F.sin(angle)).alias("s"), fixed(F.cos(angle)).alias("k"), F.when(angle.isNotNull(), 1).otherwise(0).cast("long").alias("n"))
+    for line, along in (("r", "c"), ("c", "r")):
+        w = Window.partitionBy(*keys, line).orderBy(along)
+        out = out.select(*keys, "r", "c", *(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(x) for x in ("s", "k", "n")))
+        upto = lambda x: F.coalesce(F.lead(x, half).over(w), F.last(x).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        out = out.select(*keys, "r", "c", *((upto(x) - F.coalesce(F.lag(x, half + 1).over(w), F.lit(0))).alias(x) for x in ("s", "k", "n")))  # noqa: B023
+    s, k = F.col("s") / float(1 << 32), F.col("k") / float(1 << 32)
+    length = F.least(F.lit(1.0), F.sqrt(s * s + k * k) / F.nullif("n", F.lit(0)))
+    mean = F.when(F.col("n") > 0, F.pmod(F.atan2(s, k), F.lit(2 * math.pi)))
+    return out.select(*keys, "r", "c", "n", mean.alias("focal_mean"), F.sqrt(-2 * F.log(length)).alias("focal_sd"))

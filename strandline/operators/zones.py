@@ -55,6 +55,24 @@ def homogeneity(aspects: DataFrame, azimuth: float, keys=("tid",)) -> DataFrame:
     return by_cell.join(columns.groupBy(*k).agg(rms(F.col("t")).alias("column_rmse"), q95_abs(F.col("t")).alias("column_q95")), k)
 
 
+def deviating_patches(aspects: DataFrame, azimuth: float, n_cells: int, keys=("tid",)) -> DataFrame:
+    """keys, dir, n_cells, n_patches, largest, fraction: of each cardinal direction (1 north to 4 west) other than the azimuth's.
+
+    Cells of one direction form rook patches; largest and fraction are the shares of the band's n_cells that the largest
+    patch and all of them have.  Cells without an aspect are in none; directions without cells have no row.
+    """
+    import math
+
+    from ..functions.scalars import wrap
+    from .grid import ROOK
+    from .patches import patch_sizes, patches
+
+    cardinal = lambda a: (1 + F.floor(wrap(a + math.pi / 4) / (math.pi / 2))).cast("int")
+    held = aspects.where("aspect is not null").withColumn("dir", cardinal(F.col("aspect"))).where(F.col("dir") != cardinal(F.lit(azimuth)))
+    sizes = patch_sizes(patches(held, "dir", ROOK, (*keys, "dir")), (*keys, "dir")).withColumnRenamed("n_cells", "n")
+    return sizes.groupBy(*keys, "dir").agg(F.sum("n").alias("n_cells"), F.count("*").alias("n_patches"), (F.max("n") / float(n_cells)).alias("largest"), (F.sum("n") / float(n_cells)).alias("fraction"))
+
+
 def elevation_ratio(cells: DataFrame, keys=("tid",), res_m: float = 30.0, n_rows: int = 50) -> DataFrame:
     """The spread of elevation across each inner column, as a share of the rise that the band's mean slope makes over its width."""
     from ..functions.aggregates import max_abs, q95_abs, rms

@@ -10,7 +10,7 @@ from ..functions import aggregates as A
 from ..functions import scalars as S
 from ..operators import grid, profile, results, terrain
 from ..sources import tables as T
-from .base import CELL, DENSITY, ORACLE_SQL, PATH, POINT, R, query, smooth, zone
+from .base import CELL, DENSITY, PATH, POINT, R, query, smooth, zone
 
 PI2 = repr(2 * math.pi) + "e0"
 KEYS = ["tid", "r", "c"]
@@ -321,22 +321,12 @@ def mosaic_overlap_mean(spark, sf):
 
 
 @query("reproject_bilinear", f"""
-WITH {CELL}, t AS (SELECT tid, r * 0.7e0 + 1.3e0 AS y, c * 0.9e0 + 0.45e0 AS x FROM cell WHERE r % 5 = 0 AND c % 4 = 0),
+WITH {CELL}, t AS (SELECT tid, r * 0.7e0 + 1.3e0 AS y, c * 0.9e0 + 0.45e0 AS x FROM cell),
 j AS (SELECT t.tid, y, x, (1 - abs(y - k.r)) * (1 - abs(x - k.c)) AS w, k.v FROM t JOIN cell k ON k.tid = t.tid AND k.r IN (floor(y), floor(y) + 1) AND k.c IN (floor(x), floor(x) + 1))
 SELECT tid, {R('y')} AS y, {R('x')} AS x, {R('sum(w * v) / sum(w)')} AS v FROM j WHERE w > 0 GROUP BY tid, y, x""")
 def reproject_bilinear(spark, sf):
-    return _reprojected(T.band_cells(spark, sf), "r % 5 = 0 and c % 4 = 0")
-
-
-def _reprojected(cells, of: str):
-    targets = cells.where(of).select("tid", (F.col("r") * 0.7 + 1.3).alias("y"), (F.col("c") * 0.9 + 0.45).alias("x"))
-    return T.reproject_bilinear(cells, targets)
-
-
-@query("reproject_bilinear_whole", ORACLE_SQL["reproject_bilinear"].replace(" WHERE r % 5 = 0 AND c % 4 = 0", ""))
-def reproject_bilinear_whole(spark, sf):
-    """Targets from every cell."""
-    return _reprojected(T.band_cells(spark, sf), "true")
+    cells = T.band_cells(spark, sf)
+    return T.reproject_bilinear(cells, cells.select("tid", (F.col("r") * 0.7 + 1.3).alias("y"), (F.col("c") * 0.9 + 0.45).alias("x")))
 
 
 @query("transect_long", f"WITH {CELL} SELECT tid, {R('elev')} AS x, veg1::DOUBLE AS y, c AS cols, r AS rows FROM cell WHERE veg1 IS NOT NULL")
@@ -372,22 +362,13 @@ def top_k(spark, sf):
 
 
 @query("scalar_functions", f"""
-WITH {CELL}, x AS (SELECT tid, r, c, v FROM cell WHERE r % 10 = 0)
+WITH {CELL}, x AS (SELECT tid, r, c, v FROM cell)
 SELECT tid, r, c, {R('1 / (1 + exp(-3e0 * (v - 0.1e0)))')} AS sigmoid, {R('0.1e0 - ln(1 / (1 / (1 + exp(-3e0 * (v - 0.1e0)))) - 1) / 3e0')} AS back, CASE WHEN v < 0 THEN 0e0 WHEN v > 0 THEN 1e0 ELSE 0.5e0 END AS step,
   {R('sign(v) * ln(1 + abs(v * 100))')} AS t17, {R('v * 100')} AS t17_back, {R(_mod('7e0 * v'))} AS wrapped, {R(_mod(f'v * 9 - 1e0 + {math.pi!r}e0') + f' - {math.pi!r}e0')} AS turn, {R('v * (5e0 - -3e0) + -3e0')} AS from_unit, {R('(v - -1e0) / 3e0')} AS to_unit,
   {R('c * cos(0.5e0) - r * sin(0.5e0)')} AS x_rot, {R('c * sin(0.5e0) + r * cos(0.5e0)')} AS y_rot, lpad(tid::VARCHAR, 3, '0') AS flag
 FROM x""")
 def scalar_functions(spark, sf):
-    return _scalars(T.band_cells(spark, sf).where("r % 10 = 0"))
-
-
-@query("scalar_functions_whole", ORACLE_SQL["scalar_functions"].replace(" WHERE r % 10 = 0", ""))
-def scalar_functions_whole(spark, sf):
-    """Of every cell."""
-    return _scalars(T.band_cells(spark, sf))
-
-
-def _scalars(cells):
+    cells = T.band_cells(spark, sf)
     v = F.col("v")
     x, y = S.rotate(F.col("c").cast("double"), F.col("r").cast("double"), F.lit(0.5))
     return cells.select(

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..operators import fits, flow, fronts, grid, hull, lines, patches, profile, results, sampling, terrain, zones
 from ..sources import tables as T
-from .base import CELL, DENSITY, ORACLE_SQL, R, query, smooth, zone
+from .base import CELL, DENSITY, R, query, smooth, zone
 from .grid_queries import ABUT, DOWN, KEYS, RESIDUAL, SLOPE, _mod, aspects, residuals
 from .grid_queries import WORK as WORK_SQL
 from .grid_queries import zones as zone_rows
@@ -148,6 +147,11 @@ def retro_power(spark, sf):
     return fronts.retro_power(advanced(spark, sf))
 
 
+@query("advancement_tests")
+def advancement_tests(spark, sf):
+    return fronts.advancement_tests(advanced(spark, sf))
+
+
 @query("linear_abruptness", f"""
 WITH {DENSITY}, q AS (SELECT tid, veg, c::DOUBLE AS x, d AS y, min(c) OVER w AS xmin, max(c) OVER w - min(c) OVER w AS xr, min(d) OVER w AS ymin, max(d) OVER w - min(d) OVER w AS yr FROM dens WINDOW w AS (PARTITION BY tid, veg)),
 u AS (SELECT tid, veg, xmin, xr, (x - xmin) / xr AS x1, (y - ymin) / yr AS y1 FROM q WHERE xr > 0 AND yr > 0),
@@ -177,7 +181,7 @@ b{i + 1} AS (SELECT tid, (sxx * sz - sx * sxz) / (sw * sxx - sx * sx) AS b0, (sw
 
 @query("logistic_glm", _irls(7))
 def logistic_glm(spark, sf):
-    out = fits.binomial_glm(binary(spark, sf), "x", "y", iterations=7)
+    out = fits.binomial_glm(binary(spark, sf), "x", "y")
     return out.select("tid", F.round("b0", 5).alias("b0"), F.round("b1", 5).alias("b1"))
 
 
@@ -209,21 +213,21 @@ def bernoulli_performance(spark, sf):
 def global_glm(spark, sf):
     cells = T.band_cells(spark, sf)
     rows = cells.select(F.coalesce("veg2", F.lit(0)).cast("double").alias("y"), (F.col("c") / 64.0).alias("x"), (F.col("r") / 50.0).alias("rows"), F.col("tid").cast("string").alias("transect"))
-    return fits.global_glm(rows, "y ~ x + rows + transect", max_iter=8)
+    return fits.global_glm(rows, "y ~ x + rows + transect")
 
 
 @query("glmm_pql")
 def glmm_pql(spark, sf):
-    return fits.mixed_pql(binary(spark, sf), "x", "y", rounds=5).drop("b_auto")
+    return fits.mixed_pql(binary(spark, sf), "x", "y").drop("b_auto")
 
 
 @query("glmm_rac")
 def glmm_rac(spark, sf):
     rows = binary(spark, sf)
-    beta = fits.binomial_glm(rows, "x", "y", iterations=7)
+    beta = fits.binomial_glm(rows, "x", "y").select("tid", "b0", "b1")
     res = rows.join(beta, "tid").withColumn("res", F.col("y") - 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * F.col("x")))))
-    auto = terrain.kernel_focal(res, terrain.inverse_distance_kernel(3), "res")
-    return fits.mixed_pql(rows.join(auto, KEYS), "x", "y", autocovariate="focal", rounds=4)
+    auto = terrain.kernel_focal(res, terrain.inverse_distance_kernel(5), "res")
+    return fits.mixed_pql(rows.join(auto, KEYS), "x", "y", autocovariate="focal")
 
 
 def _edge(spark, sf, step: int = 1):
@@ -329,8 +333,10 @@ def interzone_patch_distribution(spark, sf):
 
 @query("morans_i", f"""
 WITH {CELL}, {RESIDUAL}, d AS (SELECT tid, r, c, e - avg(e) OVER (PARTITION BY tid) AS d FROM res),
-p AS (SELECT a.tid, sum(a.d * b.d) AS num, count(*) AS w FROM d a JOIN d b ON a.tid = b.tid AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c) GROUP BY a.tid)
-SELECT p.tid, {R('first(x.n / w * num / x.den)')} AS morans_i FROM p JOIN (SELECT tid, sum(d * d) AS den, count(*) AS n FROM d GROUP BY tid) x ON x.tid = p.tid GROUP BY p.tid""")
+stp AS (SELECT x - 3 AS dr, y - 3 AS dc FROM range(7) a(x), range(7) b(y) WHERE (x, y) <> (3, 3)),
+q AS (SELECT a.tid, a.r, a.c, a.d, b.d AS e FROM d a CROSS JOIN stp JOIN d b ON b.tid = a.tid AND b.r = a.r + dr AND b.c = a.c + dc QUALIFY row_number() OVER (PARTITION BY a.tid, a.r, a.c ORDER BY dr * dr + dc * dc, dr, dc) <= 8),
+l AS (SELECT tid, r, c, first(d) * avg(e) AS k, first(d) * first(d) AS s FROM q GROUP BY tid, r, c)
+SELECT tid, {R('sum(k) / sum(s)')} AS morans_i FROM l GROUP BY tid""")
 def morans_i(spark, sf):
     return fits.morans_i(residuals(T.band_cells(spark, sf)), "e")
 
@@ -434,35 +440,39 @@ def line_cells(spark, sf):
 
 
 @query("homogeneous_aspect_line", f"""
-WITH {SLOPE}, st AS (SELECT tid, r, c, aspect AS a0, r * 64 + c AS line_id FROM asp WHERE r % 12 = 6 AND c % 12 = 6 AND aspect IS NOT NULL),
+WITH {SLOPE}, st AS (SELECT tid, r, c, aspect AS a0, r * 64 + c AS line_id FROM asp WHERE aspect IS NOT NULL),
 l AS (SELECT tid, line_id, a0, r + cos(a0) * 8 AS r0, c - sin(a0) * 8 AS c0, r - cos(a0) * 8 AS r1, c + sin(a0) * 8 AS c1 FROM st),
 o AS (SELECT tid, line_id, i, a0, floor(round(r0 + i / 16e0 * (r1 - r0), 6) + 0.5e0)::INT AS r, floor(round(c0 + i / 16e0 * (c1 - c0), 6) + 0.5e0)::INT AS c FROM l, range(0, 17) t(i)),
 k AS (SELECT o.tid, line_id, i FROM o JOIN asp ON asp.tid = o.tid AND asp.r = o.r AND asp.c = o.c WHERE abs({_mod(f'aspect - a0 + {math.pi!r}e0')} - {math.pi!r}e0) < 1e0),
 g AS (SELECT tid, line_id, min(i) AS a, max(i) AS b, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY tid, line_id ORDER BY i) AS g FROM k) GROUP BY tid, line_id, g)
 SELECT tid, line_id, a::INT AS i_from, b::INT AS i_to, n FROM g WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY tid, line_id ORDER BY n DESC, a) = 1""")
 def homogeneous_aspect_line(spark, sf):
-    return _like_aspects(aspects(T.band_cells(spark, sf)), "r % 12 = 6 and c % 12 = 6")
+    """A line from every cell."""
+    cells = aspects(T.band_cells(spark, sf))
+    starts = cells.select(*KEYS, (F.col("r") * 64 + F.col("c")).alias("line_id"))
+    return lines.homogeneous_lines(cells, starts, 8, 1.0, 2)
 
 
-def _like_aspects(cells, of: str):
-    starts = cells.where(of).select(*KEYS, (F.col("r") * 64 + F.col("c")).alias("line_id"))
-    return lines.homogeneous_lines(cells, starts, 8, 1.0, 2)
+#: A surface without the bands' rise, so that its cells face all directions.
+ROUGH = SLOPE.replace("1500e0 + 12e0 * c + 40e0 * v AS elev", "200e0 * v AS elev")
 
 
-@query("homogeneous_aspect_line_whole", ORACLE_SQL["homogeneous_aspect_line"].replace("r % 12 = 6 AND c % 12 = 6 AND ", ""))
-def homogeneous_aspect_line_whole(spark, sf):
-    """A line from every cell."""
-    return _like_aspects(aspects(T.band_cells(spark, sf)), "true")
+def _rough(spark, sf):
+    return T.band_cells(spark, sf).withColumn("elev", 200.0 * F.col("v"))
+
+
+@query("band_aspect", f"WITH {ROUGH} SELECT tid, r, c, {R('slope')} AS slope, {R(f'CASE WHEN slope > 0.3e0 THEN a0 WHEN slope IS NOT NULL THEN {1.5 * math.pi!r}e0 END')} AS aspect FROM sa")
+def band_aspect(spark, sf):
+    return terrain.band_aspect(_rough(spark, sf), 1.5 * math.pi, 0.3)
 
 
 @query("deviating_aspect_patches", f"""
-WITH {SLOPE}, dir AS (SELECT tid, r, c, (1 + floor({_mod(f'aspect + {math.pi / 4!r}e0')} / {math.pi / 2!r}e0))::INT AS dir FROM asp WHERE aspect IS NOT NULL)
-SELECT tid, dir, count(*) AS n_cells, {R('count(*) / 3200e0')} AS fraction FROM dir WHERE dir <> 4 GROUP BY tid, dir""")
+WITH RECURSIVE {ROUGH}, dir AS (SELECT tid, r, c, (1 + floor({_mod(f'a0 + {math.pi / 4!r}e0')} / {math.pi / 2!r}e0))::INT AS dir FROM sa WHERE slope > 0.3e0),
+dev AS (SELECT tid * 10 + dir AS tid, r, c, dir FROM dir WHERE dir <> 4), {patch_sql('dir', False, 'pd').replace('FROM cell WHERE', 'FROM dev WHERE')}
+SELECT (tid // 10)::INT AS tid, (tid % 10)::INT AS dir, sum(n)::BIGINT AS n_cells, count(*) AS n_patches, {R('max(n) / 3200e0')} AS largest, {R('sum(n) / 3200e0')} AS fraction
+FROM (SELECT tid, patch_id, count(*) AS n FROM pd GROUP BY ALL) GROUP BY tid""")
 def deviating_aspect_patches(spark, sf):
-    from ..functions.scalars import wrap
-
-    cardinal = (1 + F.floor(wrap(F.col("aspect") + math.pi / 4) / (math.pi / 2))).cast("int")
-    return aspects(T.band_cells(spark, sf)).where("aspect is not null").withColumn("dir", cardinal).where("dir <> 4").groupBy("tid", "dir").agg(F.count("*").alias("n_cells"), (F.count("*") / 3200.0).alias("fraction"))
+    return zones.deviating_patches(terrain.band_aspect(_rough(spark, sf), 1.5 * math.pi, 0.3), 1.5 * math.pi, 3200)
 
 
 @query("terrain_classes")
@@ -475,7 +485,7 @@ def terrain_classes(spark, sf):
 def stream_locate(spark, sf):
     from ..streaming.locate import stream_paths
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strandline-")
+    root = sampling.may_checkpoint(spark)
     import uuid
 
     def summarise(rows):

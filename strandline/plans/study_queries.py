@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..model import TransectType
 from ..operators import study
 from ..sources import tables as T
-from .base import CELL, ORACLE_SQL, R, query
+from .base import CELL, R, query
 from .grid_queries import KEYS, aspects
 from .measure_queries import LPTS, WORK_SQL, _starts
 
@@ -77,18 +77,10 @@ def zone_ends(spark, sf):
     return study.zone_ends(T.band_cells(spark, sf))
 
 
-@query("cell_of_point", f"WITH {CELL} SELECT p.tid, p.x, p.y, k.r, k.c, {R('k.elev')} AS elev FROM (SELECT tid, c * 29.7e0 AS x, r * 29.9e0 AS y FROM cell WHERE r % 7 = 0 AND c % 9 = 0) p JOIN cell k ON k.tid = p.tid AND k.r = floor(p.y / 30) + 1 AND k.c = floor(p.x / 30) + 1")
+@query("cell_of_point", f"WITH {CELL} SELECT p.tid, p.x, p.y, k.r, k.c, {R('k.elev')} AS elev FROM (SELECT tid, c * 29.7e0 AS x, r * 29.9e0 AS y FROM cell) p JOIN cell k ON k.tid = p.tid AND k.r = floor(p.y / 30) + 1 AND k.c = floor(p.x / 30) + 1")
 def cell_of_point(spark, sf):
-    return _cells_of(T.band_cells(spark, sf), "r % 7 = 0 and c % 9 = 0")
-
-
-@query("cell_of_point_whole", ORACLE_SQL["cell_of_point"].replace(" WHERE r % 7 = 0 AND c % 9 = 0", ""))
-def cell_of_point_whole(spark, sf):
-    """A point from every cell."""
-    return _cells_of(T.band_cells(spark, sf), "true")
-
-
-def _cells_of(cells, of: str):
-    points = cells.where(of).select("tid", (F.col("c") * 29.7).alias("x"), (F.col("r") * 29.9).alias("y"))
+    """Of a point in every cell."""
+    cells = T.band_cells(spark, sf)
+    points = cells.select("tid", (F.col("c") * 29.7).alias("x"), (F.col("r") * 29.9).alias("y"))
     place = points.withColumns({"r": (F.floor(F.col("y") / 30) + 1).cast("int"), "c": (F.floor(F.col("x") / 30) + 1).cast("int")})
     return place.join(cells.select(*KEYS, "elev"), KEYS).select("tid", "x", "y", "r", "c", "elev")
