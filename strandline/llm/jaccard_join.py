@@ -374,8 +374,9 @@ def _search(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     size = members.groupBy("cluster").agg(F.sum("n").alias("total"))
     blocks = F.ceil(F.col("total") / TASK_SHINGLES).cast("int")
     whole = size.where(blocks == 1)
-    n_tasks = max(1, -(-(whole.agg(F.sum("total")).first()[0] or 0) // TASK_SHINGLES))
-    # small clusters share tasks; large ones are cut into blocks, and some of their members are in each of these
+    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_tasks = max(partitions, -(-(whole.agg(F.sum("total")).first()[0] or 0) // TASK_SHINGLES))
+    # small clusters share tasks, as many as there are partitions at least; large ones are cut into blocks, and some of their members are in each of these
     small = members.join(whole, "cluster").select("node", F.pmod(F.xxhash64("cluster"), F.lit(n_tasks)).alias("task"), F.lit(-1).alias("block"))
     large = members.join(size.where(blocks > 1).select("cluster", blocks.alias("blocks")), "cluster")
     cut = large.select("node", F.col("cluster").alias("task"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
