@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import ASCII_SPACE, LOWER, UPPER
 
 
+#: Keys whose rows are dealt out, and over how many salts.
+HOT, SALTS = 1000, 64
+
+
 def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(ASCII_SPACE)), UPPER, LOWER)
 
@@ -30,8 +34,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry:
     hashes = F.array_distinct(F.transform(long_keys, F.md5))
     held = rows.select("doc_id", F.explode(hashes).alias("hash")).distinct()
     frequent = held.groupBy("hash").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    # rows of the most frequent keys are dealt out by document; any other key has less than one in HOT of all rows
+    hot = F.broadcast(frequent.orderBy(F.desc("n"), "hash").limit(HOT).select(F.col("hash").alias("hot")))
+    salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("long")
+    every = F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    is_hot = F.col("hash") == F.col("hot")
+    keepers = frequent.join(hot, is_hot, "left").select("hash", "keeper", F.explode(every.cast("array<long>")).alias("salt"))
     lost = (
-        held.join(frequent.select("hash", "keeper"), "hash")
+        held.join(hot, is_hot, "left").select("doc_id", "hash", salt.alias("salt")).join(keepers, ["hash", "salt"])
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id")
         .agg(F.collect_list("hash").alias("lost"))
