@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, store, table
+from .common import arrow_map, small_batches, store, table
 
 #: Bounds are compared with this much slack, far more than the rounding of a distance.
 SLACK = 1e-6
@@ -15,6 +15,7 @@ SLACK = 1e-6
 
 def quantise(rows: DataFrame, factor: int = 64) -> DataFrame:
     """vec_id, vec (the components floor(factor * x) as 8-byte integers) and norm2; only whole, finite vectors with an id."""
+    small_batches(rows.sparkSession)
 
     def kernel(cols: dict):
         out: dict = {"vec_id": [], "vec": [], "norm2": []}
@@ -76,8 +77,8 @@ def _products(queries: np.ndarray, vecs: np.ndarray) -> np.ndarray:
 def _search(queries: pd.DataFrame, cell: pd.DataFrame, dim: int, longest2: float, k: int, annulus: int) -> dict:
     """The k best rows of a cell for each query, given the scores that others have reached already."""
     cell = cell.sort_values("dist", kind="stable")
-    vecs, ids, dist = _matrix(cell["vec"].tolist(), dim), cell["vec_id"].to_numpy(), cell["dist"].to_numpy()
-    q, q_ids, q_dist = _matrix(queries["vec"].tolist(), dim), queries["vec_id"].to_numpy(), queries["dist"].to_numpy()
+    vecs, ids, places, dist = _matrix(cell["vec"].tolist(), dim), cell["vec_id"].to_numpy(), cell["place"].to_numpy(), cell["dist"].to_numpy()
+    q, q_ids, q_places, q_dist = _matrix(queries["vec"].tolist(), dim), queries["vec_id"].to_numpy(), queries["place"].to_numpy(), queries["dist"].to_numpy()
     floor = queries["floor"].to_numpy(np.float64)  # a score that k others reach; -inf if not known
     q_norm2 = (q.astype(np.float64) ** 2).sum(1)
     edges = np.arange(0, len(cell), annulus)
@@ -96,7 +97,7 @@ def _search(queries: pd.DataFrame, cell: pd.DataFrame, dim: int, longest2: float
             who = np.nonzero(going & (at == a))[0]
             rows_at = slice(edges[a], edges[a] + annulus)
             scores = _products(q[who], vecs[rows_at])
-            own = ids[rows_at][None] == q_ids[who][:, None]
+            own = places[rows_at][None] == q_places[who][:, None]
             i, j = np.nonzero((scores >= floor[who][:, None]) & ~own)
             rows.append((who[i], scores[i, j], ids[rows_at][j]))
         who, score, vec = (np.concatenate(x) for x in zip(*rows, strict=True))
@@ -107,7 +108,7 @@ def _search(queries: pd.DataFrame, cell: pd.DataFrame, dim: int, longest2: float
         floor[who[full]] = np.maximum(floor[who[full]], score[full])
         rows = [(who[rank < k], score[rank < k], vec[rank < k])]
     who, score, vec = rows[0] if len(rows) == 1 else (np.concatenate(x) for x in zip(*rows, strict=True))
-    return {"query_id": q_ids[who], "vec_id": vec, "score": score}
+    return {"asked": q_places[who], "query_id": q_ids[who], "vec_id": vec, "score": score}
 
 
 def top_k(rows: DataFrame, is_query, k: int = 20, n_pivots: int = 32, sample_rows: int = 2000, cell_rows: int = 8192, block_queries: int = 1024, annulus_rows: int = 1024) -> DataFrame:
@@ -119,13 +120,14 @@ def top_k(rows: DataFrame, is_query, k: int = 20, n_pivots: int = 32, sample_row
     gives them a score that k rows reach; then they go, in blocks of block_queries, to every cell that the triangle
     inequality doesn't exclude.  There, sorted annuli are searched outwards until it excludes the rest.
 
-    Scores tie to the smaller vec_id.  Rows of the query's own vec_id are no candidates.  Vectors that are null or hold
+    Scores tie to the smaller vec_id.  Every query row is a query, and its own row is no candidate: rows of one vec_id
+    are queries of their own, with k result rows each, and candidates for one another.  Vectors that are null or hold
     null or non-finite components, and rows without vec_id, take no part.  A shorter vector counts as padded with
     zeros.  Only vec_id and embedding are read, so that other columns may have any name.  An empty table gives an
     empty result.  is_query makes a condition of the column vec_id.
     """
     spark = rows.sparkSession
-    vectors = store(quantise(rows), "topk-vectors")
+    vectors = store(quantise(rows).withColumn("place", F.monotonically_increasing_id()), "topk-vectors")
     size = vectors.agg(F.count("*").alias("n"), F.max("norm2").alias("longest2"), F.max(F.octet_length("vec")).alias("bytes")).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not size.n:
@@ -138,13 +140,13 @@ def top_k(rows: DataFrame, is_query, k: int = 20, n_pivots: int = 32, sample_row
         if cols["vec_id"]:
             away = pivots.distances(pivots.lift(_matrix(cols["vec"], dim)), pivots.points)
             near = away.argmin(axis=1)
-            yield {"pivot": near, "dist": away[np.arange(len(near)), near], "vec_id": cols["vec_id"], "vec": cols["vec"]}
+            yield {"pivot": near, "dist": away[np.arange(len(near)), near], **{c: cols[c] for c in ("place", "vec_id", "vec")}}
 
-    keyed = store(arrow_map(vectors, key, "pivot int, dist double, vec_id long, vec binary"), "topk-index")
+    keyed = store(arrow_map(vectors, key, "pivot int, dist double, place long, vec_id long, vec binary"), "topk-index")
     cells = {r.pivot: (-(-r.n // cell_rows), r.low, r.high) for r in keyed.groupBy("pivot").agg(F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).collect()}
     parts = F.create_map(*(F.lit(x) for p, (n, *_) in cells.items() for x in (p, n)))
-    indexed = keyed.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts[F.col("pivot")].cast("long")).cast("int"))
-    asked = keyed.where(is_query(F.col("vec_id"))).select("vec_id", "vec")
+    indexed = keyed.withColumn("part", F.pmod(F.xxhash64("place"), parts[F.col("pivot")].cast("long")).cast("int"))
+    asked = keyed.where(is_query(F.col("vec_id"))).select("place", "vec_id", "vec")
     n_blocks = max(1, -(-asked.count() // block_queries))
 
     def routes(cols: dict, home: bool):
@@ -154,7 +156,7 @@ def top_k(rows: DataFrame, is_query, k: int = 20, n_pivots: int = 32, sample_row
         q = _matrix(cols["vec"], dim)
         away = pivots.distances(np.hstack([q.astype(np.float64), np.zeros((len(q), 1))]), pivots.points)
         norm2 = (q.astype(np.float64) ** 2).sum(1)
-        out: dict = {c: [] for c in ("pivot", "part", "vec_id", "vec", "dist", "floor")}
+        out: dict = {c: [] for c in ("pivot", "part", "place", "vec_id", "vec", "dist", "floor")}
         for i, vec_id in enumerate(cols["vec_id"]):
             floor = -np.inf if home or cols["floor"][i] is None else float(cols["floor"][i])
             nearest = min(cells, key=lambda p: away[i, p])
@@ -163,30 +165,32 @@ def top_k(rows: DataFrame, is_query, k: int = 20, n_pivots: int = 32, sample_row
                 allowed = (norm2[i] + longest2 - gap * gap) / 2 + SLACK * (1 + longest2) >= floor
                 for part in range(n):
                     if ((p, part) == (nearest, 0)) if home else (allowed and (p, part) != (nearest, 0)):
-                        for c, x in zip(out, (p, part, vec_id, cols["vec"][i], away[i, p], floor), strict=True):
+                        for c, x in zip(out, (p, part, cols["place"][i], vec_id, cols["vec"][i], away[i, p], floor), strict=True):
                             out[c].append(x)
         yield out
 
-    route_schema = "pivot int, part int, vec_id long, vec binary, dist double, floor double"
-    block = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(n_blocks)).cast("int")
+    route_schema = "pivot int, part int, place long, vec_id long, vec binary, dist double, floor double"
+    block = F.pmod(F.xxhash64("place", F.lit(7)), F.lit(n_blocks)).cast("int")
 
     def searched(routed: DataFrame, index: DataFrame) -> DataFrame:
-        queries = routed.withColumn("block", block)
-        blocks = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        queries = store(routed.withColumn("block", block), "topk-routes")
+        # a cell goes to the blocks of which a query needs it, not to all
+        needed = queries.groupBy("pivot", "part").agg(F.collect_set("block").alias("blocks"))
+        blocks = index.join(needed, ["pivot", "part"]).withColumn("block", F.explode("blocks")).drop("blocks")
 
         def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+                return pd.DataFrame({"asked": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
             return pd.DataFrame(_search(left, right, dim, longest2, k, annulus_rows))
 
         by = ("pivot", "part", "block")
-        return queries.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInPandas(run, "query_id long, vec_id long, score long")
+        return queries.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInPandas(run, "asked long, query_id long, vec_id long, score long")
 
     at_home = store(searched(arrow_map(asked, lambda c: routes(c, True), route_schema, 512), indexed.where("part = 0")), "topk-home")
-    floors = at_home.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k)
-    bounded = asked.join(floors.select(F.col("query_id").alias("vec_id"), "floor"), "vec_id", "left")
+    floors = at_home.groupBy("asked").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k)
+    bounded = asked.join(floors.select(F.col("asked").alias("place"), "floor"), "place", "left")
     elsewhere = searched(arrow_map(bounded, lambda c: routes(c, False), route_schema, 512), indexed)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
     ranked = at_home.unionByName(elsewhere).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
