@@ -108,17 +108,19 @@ def arrow_map(df: DataFrame, kernel: Callable[[dict], Iterable[dict]], schema: s
 def arrow_keep(df: DataFrame, of: tuple[str, ...], kernel: Callable[[dict], list[bool]], batch_rows: int = 256) -> DataFrame:
     """The rows of df that kernel keeps, by what it says of each one; it gets the columns `of` as Python lists.
 
-    All other columns pass as they are, so that each row is decided by itself and none is joined.
+    All other columns pass as they are, whatever their names, so that each row is decided by itself and none is joined.
     """
     small_batches(df.sparkSession, batch_rows)
+    at = [df.columns.index(c) for c in of]
+    placed = df.toDF(*(f"column{i}" for i in range(len(df.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, batch_rows):
-                part = batch.slice(at, batch_rows)
-                yield part.filter(pa.array(kernel(part.select(list(of)).to_pydict()), pa.bool_()))
+            for begin in range(0, batch.num_rows, batch_rows):
+                part = batch.slice(begin, batch_rows)
+                yield part.filter(pa.array(kernel({c: part.column(i).to_pylist() for c, i in zip(of, at, strict=True)}), pa.bool_()))
 
-    return df.mapInArrow(released(run), df.schema)
+    return placed.mapInArrow(released(run), placed.schema).toDF(*df.columns)
 
 
 def _arrow(kind):

@@ -121,3 +121,69 @@ def leaks(docs, items):
     words = lambda t: lower(t or "").split()
     found = shingle_sets(docs)
     return {(i, j) for j, t in items if words(t) for i, s in found.items() if shingle_sets([(0, t)])[0] <= s}
+
+
+def leak_scores(docs, items, threshold=0.5, size=5, overlap=0.75, answer_overlap=0.5, k1=1.2, b=0.75):
+    """(doc, item): share of the item's BM25 score, of all that a document short enough to be one passage gives away."""
+    of = {i: lower(t).split() for i, t in items}
+    df = defaultdict(int)
+    for w in of.values():
+        for x in set(w):
+            df[x] += 1
+    mean, out = sum(map(len, of.values())) / len(of), {}
+    runs = lambda w, n: {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))}
+    for d, t in docs:
+        words = lower(t).split()
+        for i, w in of.items():
+            impact = {x: math.log(1 + (len(of) - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * (k1 + 1) / (w.count(x) + k1 * (1 - b + b * len(w) / mean)) for x in set(w)}
+            score = sum(v for x, v in impact.items() if x in words) / sum(impact.values())
+            n = min(size, len(w))
+            n_answer = max(1, round(0.25 * len(w)))
+            question, answer, there = w[:-n_answer], w[-n_answer:], runs(words, n)
+            q = runs(question, min(n, len(question)))
+            in_question = sum(x in there if len(x) == n else set(x) <= set(words) for x in q) / len(q)
+            if score >= threshold and len(runs(w, n) & there) >= overlap * len(runs(w, n)) and in_question >= overlap and len(set(answer) & set(words)) >= answer_overlap * len(set(answer)):
+                out[d, i] = score
+    return out
+
+
+def template_pattern(template):
+    """A template as a regular expression over words, each with a blank in front; None for optional regions that begin with words of any kind."""
+    out = ""
+    for part in re.findall(r"<<[^<>]*>>|[^<>]+", template):
+        if part == "<<optional>>":
+            out += "(?:"
+        elif part == "<<end>>":
+            out += ")?"
+        elif part.startswith("<<var:"):
+            out += f"(?: [^ ]+){{0,{part[6:-2]}}}"
+        else:
+            out += "".join(f" {re.escape(w)}" for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(part)))
+    return re.compile(out + "(?= |$)")
+
+
+def license_labels(docs):
+    from strandline.llm.license_scan import PHRASES, TEMPLATES
+
+    patterns = [(label, template_pattern(t)) for label, ts in TEMPLATES.items() for t in ts]
+    out = []
+    for i, t in docs:
+        text = "".join(f" {w}" for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t or "")))
+        spans = {label for label, p in patterns if p.search(text)}
+        base = {label for phrase, label in PHRASES.items() if f" {phrase} " in f"{text} "}
+        out.append((i, ",".join(sorted(spans | base)), 1.0 if spans else 0.5 if base else 0.0))
+    return out
+
+
+def rising(y):
+    """The rising sequence nearest to y: at each place the largest, over begins before it, of the least mean over ends behind it."""
+    n, total = len(y), [0.0]
+    for v in y:
+        total.append(total[-1] + v)
+    least = [[0.0] * n for _ in range(n)]
+    for a in range(n):
+        low = math.inf
+        for e in range(n - 1, a - 1, -1):
+            low = min(low, (total[e + 1] - total[a]) / (e + 1 - a))
+            least[a][e] = low
+    return [max(least[a][i] for a in range(i + 1)) for i in range(n)]

@@ -142,6 +142,114 @@ def test_null_and_repeated_ids(spark, tmp_path, name):
     assert query(name)(spark, str(tmp_path)).count() == len(odd)
 
 
+def test_repeated_vectors(spark):
+    """Each query row is a query; only its own row is no candidate."""
+    from strandline.llm.topk_search import top_k
+
+    rows = [(0, [1.0, 0.0], 0), (0, [1.0, 0.0], 0), (None, [9.0, 9.0], 0), (1, [0.5, 0.5], 0), (2, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (20, None, 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+    found = sorted(tuple(r) for r in top_k(frame, lambda c: F.pmod(c, F.lit(20)) == 0, k=3).collect())
+    assert found == sorted([(0, 1, 0, 4096), (0, 2, 2, 4096), (0, 3, 2, 4096)] * 2)
+
+
+def test_null_and_repeated_items(spark):
+    """Rows of one item_id are items of their own; null ids stay null; null and empty texts give nothing."""
+    from strandline.llm.decontaminate import find_leaks
+
+    one, two = "alpha beta gamma delta epsilon zeta eta theta", "kappa lambda mu nu xi omicron pi rho"
+    docs = spark.createDataFrame([(None, f"x y {one} z"), (1, f"x y {one} z"), (1, two), (2, None), (3, ""), (4, "nothing of that kind")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, one), (7, two), (None, two), (8, None), (9, "")], "item_id long, text string")
+    found = ordered((r.doc_id, r.item_id) for r in find_leaks(docs, items).collect())
+    assert found == ordered([(None, 7), (1, 7), (1, 7), (1, None)])
+
+
+def test_leaks_against_plain_scores(spark):
+    """Both ways: every item whose plain BM25 share and overlaps reach the thresholds is found, and no other."""
+    import random
+
+    from strandline.llm.decontaminate import find_leaks
+
+    rnd = random.Random(11)
+    vocabulary = [f"t{i}" for i in range(400)]
+    items = [(i, " ".join(rnd.choices(vocabulary, k=rnd.randint(8, 30)))) for i in range(40)]
+    docs = []
+    for i in range(120):
+        words = items[i % 40][1].split()
+        for _ in range(rnd.randint(0, len(words) // 2)):  # the more words are others, the less is given away
+            words[rnd.randrange(len(words))] = rnd.choice(vocabulary)
+        docs.append((i, " ".join([*rnd.choices(vocabulary, k=5), *words, *rnd.choices(vocabulary, k=5)])))
+    found = {(r.doc_id, r.item_id): r.score for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute.leak_scores(docs, items)
+    assert 20 < len(want) < 120 and found.keys() == want.keys()
+    assert all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_license_labels_and_score(spark, corpus):
+    """labels and score against the templates written out as regular expressions over words."""
+    assert rows(spark, corpus, "op3", "doc_id", "labels", "score") == ordered(brute.license_labels(corpus[1]))
+
+
+def test_quality_against_a_dense_solve(spark):
+    """Ridge scores of the partition-summed normal equations are those of one dense least squares problem."""
+    import numpy as np
+
+    from strandline.llm import quality
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, len(quality.STATISTICS)))
+    y = (x[:, 0] + 0.5 * x[:, 1] > 0).astype(float)
+    frame = spark.createDataFrame([(i, a.tolist(), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "doc_id long, statistics array<double>, label double").repartition(5)
+    model = quality.fit(frame, n_features=40, ridge=0.01)
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8) @ model.directions + model.phases
+    a = np.hstack([np.sqrt(2 / 40) * np.cos(z), np.ones((400, 1))])
+    stacked = np.vstack([a, np.sqrt(0.01 * 400 / 40) * np.eye(41)])
+    dense = np.linalg.lstsq(stacked, np.concatenate([y, np.zeros(41)]), rcond=None)[0]
+    assert np.abs(model.ridge_scores(x) - a @ dense).max() < 1e-8
+    # isotonic calibration: the least squares fit among rising step functions, at the scores themselves
+    order = np.argsort(a @ dense)
+    steps = brute.rising(y[order].tolist())
+    assert abs(np.corrcoef(model.scores(x)[order], steps)[0, 1]) > 0.98
+    # products of many features approximate the Gaussian kernel
+    wide = quality.fit(frame, n_features=4000, max_rows=400)
+    u = (x[:50] - x.mean(0)) / x.std(0)
+    f = wide.features(x[:50])[:, :-1]
+    kernel = np.exp(-((u[:, None] - u[None]) ** 2).sum(-1) / (2 * 4.0**2))
+    assert np.abs(f @ f.T - kernel).max() < 0.12
+
+
+def test_statistics_of_a_text():
+    from strandline.llm.quality import STATISTICS, statistics
+
+    found = dict(zip(STATISTICS, statistics("Ab cd. Ab!\nx|9 \u00e9"), strict=True))
+    n = len("Ab cd. Ab!\nx|9 \u00e9".encode())
+    want = {"log_bytes": math.log1p(n), "upper": 2 / n, "lower": 5 / n, "digits": 1 / n, "blanks": 3 / n, "newlines": 1 / n, "pipes": 1 / n, "beyond_ascii": 2 / n, "stops": 1 / n, "log_words": math.log1p(5), "distinct_words": 5 / 5, "distinct_lines": 1.0, "ended_lines": 0.5, "upper_starts": 2 / 5, "adjacent_repeats": 0.0, "symbol_ends": 1 / 5}
+    assert all(abs(found[k] - v) < 1e-12 for k, v in want.items())
+    assert not statistics(None).any() and not statistics("").any()
+
+
+def test_sets_of_one_hash_get_their_second():
+    import pyarrow as pa
+
+    from strandline.llm import jaccard_join as j
+
+    one, two, none = j.shingle_sets(pa.array(["A b\tc d e f", "a b c d e g", None]))
+    assert len(one) == len(two) == 2 and len(none) == 0 and j._node(one) != j._node(two)
+    assert j._node(one, frozenset([j._node(one)])) == j._second(one) != j._node(one)
+
+
+def test_stages_take_clashing_columns(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(40)
+    more = {c: F.lit(i) for i, c in enumerate(("kept_id", "kept_id_", "no_text", "n_dropped", "others", "carried", "lines", "hash", "salt", "hot", "node", "component_id", "score", "a.b"))}
+    wide = docs.withColumns(more)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out, plain = stage(spark, wide, DATA), stage(spark, docs, DATA)
+        assert out.columns == wide.columns
+        assert ordered(tuple(r)[: len(docs.columns)] for r in out.collect()) == ordered(tuple(r) for r in plain.collect())
+        assert [tuple(r)[len(docs.columns) :] for r in out.collect()] == [tuple(range(len(more)))] * out.count()
+
+
 def test_oracles_name_queries():
     from strandline.llm import queries as q
 
@@ -345,7 +453,6 @@ def test_pipeline(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
     leaked = {d for d, _ in brute.leaks(rows, items)}
     want = {i: (n, h) for i, n, h, _ in brute.bpe(rows, library("word_bpe_49k.json")) if i not in leaked}
-    assert found.items() <= want.items() and len(want) - len(found) <= 1 + 0.02 * len(want)
     assert found == want
 
 
