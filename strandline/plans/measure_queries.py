@@ -481,7 +481,7 @@ def terrain_classes(spark, sf):
     return fits.terrain_classes(cells.select(*KEYS, "elev").join(terrain.slope_aspect(cells), KEYS))
 
 
-@query("stream_locate")
+@query("stream_locate", f"SELECT user_id AS tid, count(*) AS n_points, {R('max(value)')} AS elev_max_m, {R('min(value)')} AS elev_min_m FROM events GROUP BY user_id")
 def stream_locate(spark, sf):
     from ..streaming.locate import stream_paths
 
@@ -491,7 +491,7 @@ def stream_locate(spark, sf):
     def summarise(rows):
         return rows.groupBy("tid").agg(F.count("*").alias("n_points"), F.max("elev").alias("elev_max_m"), F.min("elev").alias("elev_min_m"))
 
-    return stream_paths(spark, sf, f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}", summarise).drop("batch_id")
+    return stream_paths(spark, sf, f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}", summarise)
 
 
 @query("events_windowed", "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) + 0e0 AS total FROM events GROUP BY ALL")

@@ -255,12 +255,15 @@ def test_geometry_and_timing(spark):
     assert T.max_timing(spark.createDataFrame([], "time_h double")).first()[0] == 2.0
 
 
-def test_stream_skips_what_is_done(spark, tmp_path):
-    from strandline.streaming.locate import locate_stream
+def test_stream_counts_all_points_of_a_transect(spark, tmp_path):
+    """A transect whose points come in two batches is summarised from all of them; others are not touched again."""
+    from strandline.streaming.locate import latest, locate_stream
 
     source, schema = f"{tmp_path}/in", "tid int, elev double"
-    summarise = lambda rows: rows.groupBy("tid").agg(F.max("elev").alias("top"))
-    for tids in ([1, 2], [2, 3]):
-        spark.createDataFrame([(t, float(t)) for t in tids], schema).write.mode("append").parquet(source)
+    summarise = lambda rows: rows.groupBy("tid").agg(F.max("elev").alias("top"), F.count("*").alias("n"))
+    for rows in ([(1, 1.0), (2, 5.0)], [(2, 2.0), (3, 3.0)], [(2, 7.0)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
         locate_stream(spark.readStream.schema(schema).parquet(source), f"{tmp_path}/out", f"{tmp_path}/state", summarise).awaitTermination()
-    assert sorted(r.tid for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3]
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r.tid, r.top, r.n) for r in latest(out).collect()) == [(1, 1.0, 1), (2, 7.0, 3), (3, 3.0, 1)]
+    assert sorted((r.tid, r.batch_id) for r in out.collect()) == [(1, 0), (2, 0), (2, 1), (2, 2), (3, 1)]
