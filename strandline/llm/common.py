@@ -21,14 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is named on a local master (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _TEMPORARY.setdefault("root", "file://" + tempfile.mkdtemp(prefix="strandline-"))
     return root.rstrip("/")
 
 
+_TEMPORARY: dict[str, str] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
