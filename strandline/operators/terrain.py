@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .grid import QUEEN, shifted
-
 #: Direction codes of the eight neighbours as (row step, column step), rows counted downwards, clockwise from the right.
 FLOW_CODES = {(0, 1): 1, (1, 1): 2, (1, 0): 4, (1, -1): 8, (0, -1): 16, (-1, -1): 32, (-1, 0): 64, (-1, 1): 128}
 
