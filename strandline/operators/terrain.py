@@ -55,7 +55,7 @@ def tangential_curvature(cells: DataFrame, value: str = "elev", keys=("tid",), r
 def flow_direction(cells: DataFrame, value: str = "elev", keys=("tid",), uphill: bool = False) -> DataFrame:
     """keys, r, c, code: the neighbour of the steepest drop, or uphill of the smallest rise; ties go to the smaller code.
 
-    Cells that nothing lies below (above) have no row.
+    The grid is complete, as for neighbourhood().  Cells that nothing lies below (above) have no row.
     """
     z = neighbourhood(cells, value, keys)
     own = F.col("z22")
