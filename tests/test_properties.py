@@ -89,12 +89,13 @@ def test_inhibited_query_samples_all_vegetated_cells(spark):
 
 
 def test_power_takes_the_quantile_of_each_group(spark):
-    known = {1: 6.313752, 2: 2.919986, 4: 2.131847, 5: 2.015048, 10: 1.812461, 49: 1.676551}
+    known = {1: 6.313752, 2: 2.919986, 4: 2.131847, 5: 2.015048, 10: 1.812461, 11: 1.795885, 49: 1.676551, 50: 1.675905}
     assert all(abs(fronts.t_quantile(0.95, n) - t) < 1e-6 for n, t in known.items())
     rows = spark.createDataFrame([(n, 0.1 * (i % 3), 0.2 * (i % 2)) for n in (5, 11, 50) for i in range(n)], "tid int, t1 double, t2 double")
     for r in fronts.retro_power(rows).collect():
         d = [0.1 * (i % 3) + 0.2 * (i % 2) for i in range(r.tid)]
-        x = (known[r.tid - 1] - 0.2 * math.sqrt(r.tid) / np.std(d, ddof=1)) / math.sqrt(2)
+        s = np.std(d, ddof=1)
+        x = (known[r.tid] - 0.2 * math.sqrt(r.tid) / s) / (math.sqrt(2) * s)  # as the survey has it: n degrees of freedom, and s
         assert abs(r.power - (1 - math.erf(x)) / 2) < 1e-6
 
 
