@@ -96,12 +96,12 @@ def sigmoid_abruptness(profile: DataFrame, x: str = "x", y: str = "y", keys=("ti
     return grouped(s, list(keys), kernel, "x05 double, x50 double, x95 double, width double, slope double, r2 double, aic double, delta_aic double, best string")
 
 
-def binomial_glm(rows: DataFrame, x: str, y: str, link: str = "logit", keys=("tid",), most: int = 50, tolerance: float = 1e-9) -> DataFrame:
+def binomial_glm(rows: DataFrame, x: str, y: str, link: str = "logit", keys=("tid",), iterations: int = 50, tolerance: float = 1e-9) -> DataFrame:
     """keys, b0, b1, rounds, converged: iteratively reweighted least squares of a binary y on x, every round one grouped sum.
 
     The rows are stored once and read once a round, but only sums are shuffled; coefficients come back by a join on the
     group, so that no group is gathered in one place.  Each round's coefficients are stored; rounds end when no group's
-    moves by more than the tolerance, or after `most` rounds: groups that still move (a perfect split has no optimum)
+    moves by more than the tolerance, or after `iterations` rounds: groups that still move (a perfect split has no optimum)
     are not converged.  Groups whose weights vanish keep their last coefficients.
     """
     if link not in ("logit", "cloglog"):
@@ -112,7 +112,7 @@ def binomial_glm(rows: DataFrame, x: str, y: str, link: str = "logit", keys=("ti
     mean = data.groupBy(*k).agg(F.avg("y").alias("m")).where("m > 0 and m < 1")
     first = F.log(F.col("m") / (1 - F.col("m"))) if link == "logit" else F.log(-F.log(1 - F.col("m")))
     beta = mean.select(*k, first.alias("b0"), F.lit(0.0).alias("b1"))
-    for n_round in range(1, most + 1):
+    for n_round in range(1, iterations + 1):
         eta = F.greatest(F.lit(-30.0), F.least(F.lit(30.0 if link == "logit" else 3.0), F.col("b0") + F.col("b1") * F.col("x")))
         now = data.join(beta, k).withColumn("eta", eta)
         if link == "logit":

@@ -119,7 +119,7 @@ def test_glm_runs_until_it_settles(spark):
 
     rows = [(0, i / 100, int((i * 37) % 100 < i)) for i in range(100)] + [(1, i / 100, int(i >= 50)) for i in range(100)] + [(2, 0.5, 1)]
     frame = spark.createDataFrame(rows, "tid int, x double, y int")
-    found = {r.tid: r for r in fits.binomial_glm(frame, "x", "y", most=12).collect()}
+    found = {r.tid: r for r in fits.binomial_glm(frame, "x", "y", iterations=12).collect()}
     one = {r.tid: r for r in fits.grouped_glm(frame, "x", "y").collect()}
     assert found[0].converged and abs(found[0].b1 - one[0].b1) < 1e-4 and not found[1].converged and 2 not in found
 
