@@ -94,3 +94,12 @@ def bearing_deg(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
 def padded_flag(i: Column, n: int) -> Column:
     """A task's number with leading zeros, as wide as the largest."""
     return F.lpad(i.cast("string"), len(str(n)), "0")
+
+
+def hours_between(begin: Column, end: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", begin, end) / 3.6e9
+
+
+def time_label(at: Column) -> Column:
+    """A time as text that sorts like it and may stand in a file's name: 20240131-235959."""
+    return F.date_format(at, "yyyyMMdd-HHmmss")

@@ -67,6 +67,17 @@ def mosaic(tiles: DataFrame, keys=("r", "c"), tile: str = "tile", value: str = "
     return of_tile.groupBy(*keys).agg(F.avg(value).alias(value), F.count("*").alias("n_tiles"))
 
 
+def like_first(tiles: DataFrame, tile: str = "tile", fields=("crs", "res_m")) -> DataFrame:
+    """Points of the tiles that have the geometry of the first tile, the one of the smallest name; nulls are equal.
+
+    A tile whose points state more than one geometry goes by the smallest.
+    """
+    of_tile = tiles.groupBy(tile).agg(F.min(F.struct(*fields)).alias("geometry"))
+    first = of_tile.where(F.col(tile).isNotNull()).agg(F.min(F.struct(tile, "geometry"))["geometry"].alias("first"))
+    good = of_tile.join(F.broadcast(first), F.col("geometry").eqNullSafe(F.col("first"))).select(tile)
+    return tiles.join(good, tile, "left_semi")
+
+
 def same_geometry(grids: DataFrame, fields=("crs", "res_m", "longlat", "rotation")) -> DataFrame:
     """Do all layers share one geometry? One row, valid; layers without cells don't count."""
     return grids.where("ncell > 1").agg((F.countDistinct(F.struct(*fields)) <= 1).alias("valid"))

@@ -268,3 +268,33 @@ def test_stream_counts_all_points_of_a_transect(spark, tmp_path):
     out = spark.read.parquet(f"{tmp_path}/out")
     assert sorted((r.tid, r.top, r.n) for r in latest(out).collect()) == [(1, 1.0, 1), (2, 7.0, 3), (3, 3.0, 1)]
     assert sorted((r.tid, r.batch_id) for r in out.collect()) == [(1, 0), (2, 0), (2, 1), (2, 2), (3, 1)]
+
+
+def test_band_along_the_grid_is_the_grid(spark):
+    from strandline.operators import band
+
+    cells = spark.createDataFrame([(0, r, c, float(r * 100 + c) if (r, c) != (3, 3) else None, (r + c) % 3 if c != 2 else None) for r in range(1, 7) for c in range(1, 9)], "tid int, r int, c int, elev double, veg_class int")
+    lines = spark.createDataFrame([(0, 0, 0.0, 3.0, 8.0, 3.0), (0, 1, 0.0, 1.0, 8.0, 1.0), (0, 2, 4.0, 3.0, 4.0, 3.0), (0, 3, 4.0, 5.0, 4.0, 1.5), (5, 0, 0.0, 3.0, 8.0, 3.0), (0, None, 8.0, 3.0, 0.0, 3.0)], "tid int, line_id int, x0 double, y0 double, x1 double, y1 double")
+    found = {(r.line_id, r.r, r.c): r for r in band.candidate_band(cells, lines, 4, 4, (0,), (1, 2)).collect()}
+    # out of the window, without length and without a grid: no rows
+    assert {k[0] for k in found} == {0, 3, None}
+    for r in range(1, 5):
+        for c in range(1, 9):
+            # cells as they are, and turned about where the line runs the other way
+            for got, (y, x) in ((found[0, r, c], (r + 1, c)), (found[None, r, c], (6 - r, 9 - c))):
+                assert got.mean_value == (float(y * 100 + x) if (y, x) != (3, 3) else None) and got.n_points == 16 and got.dist_m == (c - 0.5) * 30
+                cls = (y + x) % 3 if x != 2 else None
+                assert (got.veg_class, got.veg1, got.veg2) == (cls, 1 if cls == 0 else None, 1 if cls in (1, 2) else None)
+    # a line up the columns, its last column half as wide
+    assert max(c for i, _, c in found if i == 3) == 4 and {found[3, r, 4].n_points for r in range(1, 5)} == {8}
+    assert [found[3, r, 1].mean_value for r in range(1, 5)] == [503.0, 504.0, 505.0, 506.0]
+    empty = band.candidate_band(cells.limit(0), lines, 4).collect() + band.candidate_band(cells, lines.limit(0), 4).collect()
+    assert empty == []
+
+
+def test_tiles_like_the_first(spark):
+    from strandline.sources import tables as T
+
+    tiles = spark.createDataFrame([("b", 1, 1, 2.0, "x", 30.0), ("a", 1, 1, 4.0, "x", 30.0), ("c", 1, 1, 9.0, "y", 30.0), ("d", 1, 2, 9.0, None, 30.0), (None, 1, 1, 9.0, "x", 30.0)], "tile string, r int, c int, value double, crs string, res_m double")
+    assert {r.tile for r in T.like_first(tiles).collect()} == {"a", "b"}
+    assert {r.tile for r in T.like_first(tiles.where("tile = 'd'")).collect()} == {"d"} and T.like_first(tiles.limit(0)).count() == 0
