@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,28 +68,90 @@ class Method:
     measure: Callable[[DataFrame], DataFrame]
 
 
+def profile_pairs(cells: DataFrame, res_m: float = 30.0) -> DataFrame:
+    """tid, fit, x, y: elevation and both densities over the distance, both densities over the elevation, by columns."""
+    at = cells.groupBy("tid", "c").agg(F.avg("elev").alias("elev"))
+    dens = profile.densities(cells)
+    dist = F.col("c") * res_m
+    over_elev = dens.join(at, ["tid", "c"]).select("tid", F.concat("veg", F.lit("_elev")).alias("fit"), F.col("elev").alias("x"), F.col("d").alias("y"))
+    over_dist = dens.select("tid", F.concat("veg", F.lit("_dist")).alias("fit"), dist.alias("x"), F.col("d").alias("y"))
+    return at.select("tid", F.lit("elev_dist").alias("fit"), dist.alias("x"), F.col("elev").alias("y")).unionByName(over_dist).unionByName(over_elev)
+
+
+def _named(found: DataFrame, by: str, prefix: str) -> DataFrame:
+    """Long rows of results by tid and a name, which goes in front of the metric."""
+    long = results.to_long(found, ["tid", by], prefix)
+    return long.select("tid", F.concat_ws("_", by, "metric").alias("metric"), "value")
+
+
 def _abruptness(cells: DataFrame) -> DataFrame:
-    found = fits.linear_abruptness(profile.densities(cells), "c", "d", ("tid", "veg"))
-    long = results.to_long(found, ["tid", "veg"])
-    return long.select("tid", F.concat_ws("_", "veg", "metric").alias("metric"), "value")
+    """Five fits, each by a line and a sigmoid, and whether AIC prefers the sigmoid."""
+    pairs, keys = profile_pairs(cells), ("tid", "fit")
+    curved = fits.sigmoid_abruptness(pairs, "x", "y", keys).withColumn("best", F.col("best") == "sigmoid")
+    return _named(fits.linear_abruptness(pairs, "x", "y", keys), "fit", "linear_").unionByName(_named(curved, "fit", "sigmoid_"))
+
+
+def cell_pairs(cells: DataFrame) -> DataFrame:
+    """tid, veg, r, x, y: of every cell the elevation, centred and scaled by band, and whether it holds the type."""
+    scale = cells.groupBy("tid").agg(F.avg("elev").alias("m"), F.stddev_samp("elev").alias("s")).where("s > 0")
+    held = F.expr("stack(2, 'veg1', coalesce(veg1, 0), 'veg2', coalesce(veg2, 0)) as (veg, y)")
+    return cells.join(scale, "tid").withColumn("x", (F.col("elev") - F.col("m")) / F.col("s")).select("tid", "r", "x", held)
 
 
 def _cellwise(cells: DataFrame) -> DataFrame:
-    rows = cells.select("tid", (F.col("c") / 64.0).alias("x"), F.coalesce("veg2", F.lit(0)).alias("y"))
-    return results.to_long(fits.grouped_glm(rows, "x", "y").drop("converged"), ["tid"], "logit_")
+    """Models of each type's cells on elevation: line, sigmoid, logit, both complementary log-logs, rows as random effects."""
+    rows, keys = cell_pairs(cells), ("tid", "veg")
+    absent = rows.withColumn("y", 1 - F.col("y"))
+    found = {
+        "line": fits.linear_abruptness(rows, "x", "y", keys),
+        "sigmoid": fits.sigmoid_abruptness(rows, "x", "y", keys).drop("best"),
+        "logit": fits.grouped_glm(rows, "x", "y", "logit", keys),
+        "cloglog": fits.grouped_glm(rows, "x", "y", "cloglog", keys),
+        "cloglog_absence": fits.grouped_glm(absent, "x", "y", "cloglog", keys),
+        "pql": fits.mixed_pql(rows, "x", "y", keys=keys).drop("b_auto"),
+    }
+    return reduce(DataFrame.unionByName, (_named(rows, "veg", f"{name}_") for name, rows in found.items()))
 
 
 def _advancement(cells: DataFrame) -> DataFrame:
-    moved = fronts.advancement(fronts.front_runners(cells), fronts.optimal_boundary(cells))
-    return results.to_long(fronts.advancement_summary(moved).drop("beyond"), ["tid"])
+    """The optimum, the advancement of both types, and its tests."""
+    optimum = fronts.optimal_boundary(cells)
+    moved = fronts.advancement(fronts.front_runners(cells), optimum)
+    found = {
+        "": optimum,
+        "advancement_": fronts.advancement_summary(moved),
+        "ranks_": fronts.signed_ranks(moved),
+        "ranks_exact_": fronts.exact_signed_rank_p(moved),
+        "power_": fronts.retro_power(moved),
+        "bootstrap_": fronts.advancement_tests(moved),
+    }
+    return reduce(DataFrame.unionByName, (results.to_long(rows, ["tid"], prefix) for prefix, rows in found.items()))
+
+
+#: The hull edges of a study: type, the other type's front, whether the type ends to the left.
+EDGES = (("veg1", "front2", False), ("veg2", "front1", True))
+HULL_STEPS = (1, 3)
 
 
 def _hull(cells: DataFrame) -> DataFrame:
-    edge = hull.hull_edge(patches.percolation_patch(cells, "veg1", 1), 1, False)
-    return results.to_long(hull.hull_stats(edge).drop("spans"), ["tid"], "step1_veg1_")
+    """The hull edge of each type and step: its place, the ground it lies on, its distance to the other type's front."""
+    ground = cells.select("tid", "r", "c", "elev").join(terrain.slope_aspect(cells).select("tid", "r", "c", "slope"), ["tid", "r", "c"])
+    ahead, parts = fronts.front_runners(cells), []
+    for step in HULL_STEPS:
+        for veg, other, left in EDGES:
+            edge = hull.hull_edge(patches.percolation_patch(cells, veg, step), step, left)
+            found = (hull.hull_stats(edge), hull.hull_gradient(edge, ground), hull.struggle_zone(edge, ahead, other, left))
+            parts += [results.to_long(rows, ["tid"], f"step{step}_{veg}_") for rows in found]
+    return reduce(DataFrame.unionByName, parts)
+
+
+METHODS = {"danz1d": Method(4, _abruptness), "danz2d": Method(3, _cellwise), "eppinga": Method(3, _advancement), "gastner": Method(3, _hull)}
 
 
-METHODS = {"danz1d": Method(3, _abruptness), "danz2d": Method(2, _cellwise), "eppinga": Method(2, _advancement), "gastner": Method(2, _hull)}
+def measure_all(cells: DataFrame) -> DataFrame:
+    """tid, metric, value of every method, its name in front of the metric."""
+    parts = (m.measure(cells).select("tid", F.concat(F.lit(f"{name}_"), "metric").alias("metric"), "value") for name, m in METHODS.items())
+    return reduce(DataFrame.unionByName, parts)
 
 
 def measure_pending(cells: DataFrame, work: DataFrame, log: DataFrame) -> DataFrame:
@@ -113,18 +176,21 @@ def task_states(located: DataFrame, windows: int, failed: DataFrame | None = Non
 
 
 def zone_ends(cells: DataFrame, res_m: float = 30.0) -> DataFrame:
-    """tid, method, start_m, end_m: between the places that each method gives to the two types.
+    """tid, method, start_m, center_m, end_m: between the places that each method gives to the two types.
 
-    Abruptness: where the lines of their densities reach half; advancement: the optimum and their mean advancement;
-    hull edge: the mean columns of their walks.  Where a place is missing there is no row.
+    Abruptness: the centres of the sigmoids of their densities; advancement: the optimum and their mean advancement, the
+    optimum being the centre; hull edges of each step: the mean columns of their walks.  Start and end are null where the
+    place of one type is missing; where both are, there is no row.
     """
-    half = fits.linear_abruptness(profile.densities(cells), "c", "d", ("tid", "veg")).select("tid", "veg", (F.col("x50") * res_m).alias("m")).withColumn("method", F.lit("abruptness"))
+    dens = profile.densities(cells).withColumn("x", F.col("c") * res_m)
+    half = fits.sigmoid_abruptness(dens, "x", "d", ("tid", "veg")).select("tid", F.lit("abruptness").alias("method"), F.nanvl("x50", F.lit(None)).alias("m"))
     optimum = fronts.optimal_boundary(cells)
     moved = fronts.advancement_summary(fronts.advancement(fronts.front_runners(cells), optimum)).join(optimum, "tid")
-    ahead = moved.select("tid", F.expr("stack(2, 'veg1', pos_m + mean_d1, 'veg2', pos_m + mean_d2) as (veg, m)")).withColumn("method", F.lit("advancement"))
-    edges = None
-    for veg, left in (("veg1", False), ("veg2", True)):
-        edge = hull.hull_stats(hull.hull_edge(patches.percolation_patch(cells, veg, 1), 1, left)).select("tid", F.lit(veg).alias("veg"), F.col("location_m").alias("m"))
-        edges = edge if edges is None else edges.unionByName(edge)
-    every = half.unionByName(ahead).unionByName(edges.withColumn("method", F.lit("hull_edge"))).where("m is not null")
-    return every.groupBy("tid", "method").agg(F.min("m").alias("start_m"), F.max("m").alias("end_m"), F.count("*").alias("n")).where("n = 2").drop("n")
+    ahead = moved.select("tid", F.lit("advancement").alias("method"), F.explode(F.array(F.col("pos_m") + F.col("mean_d1"), F.col("pos_m") + F.col("mean_d2"))).alias("m"), F.col("pos_m").alias("center"))
+    every = half.unionByName(ahead, allowMissingColumns=True)
+    for step in HULL_STEPS:
+        for veg, _, left in EDGES:
+            edge = hull.hull_stats(hull.hull_edge(patches.percolation_patch(cells, veg, step), step, left))
+            every = every.unionByName(edge.select("tid", F.lit(f"hull_edge_{step}").alias("method"), F.col("location_m").alias("m")), allowMissingColumns=True)
+    known = every.where("m is not null").groupBy("tid", "method").agg(F.min("m").alias("low"), F.max("m").alias("high"), F.first("center").alias("center_m"), F.count("*").alias("n"))
+    return known.select("tid", "method", F.when(F.col("n") == 2, F.col("low")).alias("start_m"), "center_m", F.when(F.col("n") == 2, F.col("high")).alias("end_m"))

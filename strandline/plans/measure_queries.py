@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
-from ..operators import fits, flow, fronts, grid, hull, lines, patches, profile, results, sampling, terrain, zones
+from ..operators import fits, flow, fronts, grid, hull, lines, patches, profile, results, sampling, study, terrain, zones
 from ..sources import tables as T
 from .base import CELL, DENSITY, R, query, smooth, zone
 from .grid_queries import ABUT, DOWN, KEYS, RESIDUAL, SLOPE, _mod, aspects, residuals
@@ -505,9 +505,4 @@ def events_windowed(spark, sf):
 @query("measure_all_methods")
 def measure_all_methods(spark, sf):
     """All methods' results of every transect as one long table."""
-    parts = {"danz1d": linear_abruptness(spark, sf).where("veg = 'veg1'").drop("veg"), "eppinga": advancement_t17(spark, sf).drop("beyond"), "gastner": hull_edge_stats(spark, sf).drop("spans")}
-    out = None
-    for name, rows in parts.items():
-        long = results.to_long(rows, ["tid"], f"{name}_")
-        out = long if out is None else out.unionByName(long)
-    return out
+    return study.measure_all(T.band_cells(spark, sf))

@@ -70,7 +70,7 @@ def task_states(spark, sf):
 def measure_pending(spark, sf):
     cells = T.band_cells(spark, sf)
     work = cells.select("tid").distinct().withColumn("method", F.explode(F.array(*map(F.lit, study.METHODS))))
-    return study.measure_pending(cells, work, work.where("tid % 2 = 0").withColumn("version", F.lit(2)))
+    return study.measure_pending(cells, work, work.where("tid % 2 = 0").withColumn("version", F.lit(3)))
 
 
 @query("zone_ends")

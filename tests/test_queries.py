@@ -134,3 +134,30 @@ def test_nearest_eight():
     for i in range(len(r)):
         want = sorted(((r[j] - r[i]) ** 2 + (c[j] - c[i]) ** 2, r[j] - r[i], c[j] - c[i], j) for j in range(len(r)) if j != i)[:8]
         assert there[i].all() and near[i].tolist() == [w[-1] for w in want]
+
+
+def test_methods_give_what_their_operators_do(spark):
+    from strandline.operators import study
+
+    found = {(r.tid, r.metric): r.value for r in catalogue.QUERIES["measure_all_methods"](spark, DATA).collect()}
+    assert {t for t, _ in found} == set(range(10))
+    one = {m for t, m in found if t == 0}
+    for fit in ("elev_dist", "veg1_dist", "veg2_dist", "veg1_elev", "veg2_elev"):
+        assert {f"danz1d_{fit}_linear_x50", f"danz1d_{fit}_sigmoid_x50", f"danz1d_{fit}_sigmoid_best"} <= one
+    for model in ("line_x50", "sigmoid_x50", "logit_b1", "cloglog_b1", "cloglog_absence_b1", "pql_var0"):
+        assert {f"danz2d_veg1_{model}", f"danz2d_veg2_{model}"} <= one
+    # the type that ends to the right falls with the elevation, the other one rises
+    assert all(found[t, "danz2d_veg1_logit_b1"] < 0 < found[t, "danz2d_veg2_logit_b1"] for t in range(10))
+    for r in catalogue.QUERIES["linear_abruptness"](spark, DATA).collect():
+        assert close(found[r.tid, f"danz1d_{r.veg}_dist_linear_r2"], plain(r.r2))
+    for name, prefix, drop in (("advancement_t17", "eppinga_advancement_", ()), ("retro_power", "eppinga_power_", ()), ("hull_edge_stats", "gastner_step1_veg1_", ("spans",))):
+        for r in catalogue.QUERIES[name](spark, DATA).collect():
+            for metric, value in r.asDict().items():
+                if metric not in ("tid", *drop):
+                    assert close(plain(found[r.tid, prefix + metric]), plain(float(value) if value is not None else None)), (name, metric)
+    ends = catalogue.QUERIES["zone_ends"](spark, DATA).collect()
+    assert {r.method for r in ends} == {"abruptness", "advancement", *(f"hull_edge_{s}" for s in study.HULL_STEPS)}
+    assert all(r.start_m <= r.end_m for r in ends if r.start_m is not None) and all((r.center_m is None) == (r.method != "advancement") for r in ends)
+    centres = {(r.tid, r.method): (r.start_m, r.end_m) for r in ends}
+    for t in range(10):
+        assert centres[t, "abruptness"] == pytest.approx(sorted(found[t, f"danz1d_{v}_dist_sigmoid_x50"] for v in ("veg1", "veg2")))
