@@ -19,6 +19,9 @@ STATISTICS = (
     "log_words", "mean_word", "distinct_words", "adjacent_repeats", "distinct_lines", "log_mean_line", "ended_lines", "symbol_ends", "upper_starts",
 )
 
+#: Up to so many ids (16 bytes each) are broadcast.
+BROADCAST_IDS = 1_000_000
+
 
 def statistics(text: str | None) -> np.ndarray:
     """STATISTICS of the whole text; null and empty texts are all zero."""
@@ -142,21 +145,44 @@ def fit(training: DataFrame, n_features: int = 256, width: float = 4.0, ridge: f
     return QualityModel(**{**model.__dict__, "knots": isotonic(rows[:, 0], rows[:, 1])})
 
 
+def held_out(doc_id: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+
+
+def truths(labels: DataFrame) -> DataFrame:
+    """doc_id and label of the labelled documents that aren't held out."""
+    return labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.avg("quality").alias("label"))
+
+
 def learn(docs: DataFrame, labels: DataFrame, **fitting) -> tuple[DataFrame, QualityModel]:
     """doc_id, held_out and statistics of every row of docs, and the model that score_quality() describes."""
     found = store(document_statistics(docs), "quality-statistics")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    truth = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("label"))
-    model = fit(found.where(~held_out).join(truth, "doc_id").select("doc_id", "statistics", "label"), **fitting)
-    return found.select("doc_id", held_out.alias("held_out"), "statistics"), model
+    model = fit(found.join(truths(labels), "doc_id").select("doc_id", "statistics", "label"), **fitting)
+    return found.select("doc_id", held_out().alias("held_out"), "statistics"), model
+
+
+def learn_only(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000, **fitting) -> QualityModel:
+    """The model of learn(), from statistics of its training rows alone: their ids are chosen before any text is read.
+
+    These are about max_rows ids at most, so that they are broadcast unless max_rows exceeds BROADCAST_IDS.
+    """
+    ids = docs.where("doc_id is not null").groupBy("doc_id").count().join(truths(labels), "doc_id")
+    n_rows = ids.agg(F.sum("count")).first()[0] or 0
+    if n_rows > max_rows:  # as fit() does, which then finds nothing more to leave out
+        ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n_rows))
+    ids = store(ids.select("doc_id", "label"), "quality-ids")
+    chosen = ids.select("doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen) if max_rows <= BROADCAST_IDS else chosen, "doc_id", "left_semi")
+    found = store(document_statistics(texts), "quality-statistics")
+    return fit(found.join(ids, "doc_id").select("doc_id", "statistics", "label"), max_rows=max_rows, **fitting)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, cut: float = 0.7, **fitting) -> DataFrame:
     """The rows of docs that score_quality() predicts to be good, with all their columns, each decided by its own text.
 
-    Texts are read twice, to learn and to decide: a row's statistics are computed again beside its other columns.
+    Statistics are computed once of each row, and once more of the rows to learn from.
     """
-    _, model = learn(docs, labels, **fitting)
+    model = learn_only(docs, labels, **fitting)
     return arrow_keep(docs, ("text",), lambda cols: (model.scores(np.array([statistics(t) for t in cols["text"]])) >= cut).tolist())
 
 

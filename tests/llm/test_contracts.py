@@ -217,6 +217,22 @@ def test_quality_against_a_dense_solve(spark):
     assert np.abs(f @ f.T - kernel).max() < 0.12
 
 
+def test_learning_from_chosen_rows_is_learning_from_all(spark):
+    """The model of the training rows alone is that of a scan of all rows, thinned or not, with repeated and null ids."""
+    import numpy as np
+
+    from strandline.llm import quality
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id < 40")).unionByName(docs.limit(20).withColumn("doc_id", F.lit(None).cast("long")))
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    x = np.array([quality.statistics(r.text) for r in docs.limit(200).collect()])
+    for most in (200_000, 60):
+        whole, chosen = quality.learn(docs, labels, max_rows=most)[1], quality.learn_only(docs, labels, max_rows=most)
+        assert np.abs(whole.mean - chosen.mean).max() < 1e-9 and np.abs(whole.scores(x) - chosen.scores(x)).max() < 1e-6
+    assert (quality.learn_only(docs.limit(0), labels).scores(x) == 0.5).all() and (quality.learn_only(docs, labels.limit(0)).scores(x) == 0.5).all()
+
+
 def test_statistics_of_a_text():
     from strandline.llm.quality import STATISTICS, statistics
 
