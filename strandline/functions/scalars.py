@@ -34,18 +34,29 @@ def signed_exp(y: Column) -> Column:
     return F.signum(y) * F.expm1(F.abs(y))
 
 
+#: A rational Chebyshev fit of erfc, within 1.2e-7 (Numerical Recipes).
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
 def erf(x: Column) -> Column:
-    """The error function, within 1.2e-7 (a rational Chebyshev fit of erfc, Numerical Recipes)."""
-    # Coefficients of the fit.
-    coefficients = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+    """The error function, within 1.2e-7."""
     t = 1 / (1 + 0.5 * F.abs(x))
-    poly = F.lit(coefficients[-1])
-    for c in reversed(coefficients[:-1]):
+    poly = F.lit(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
         poly = c + t * poly
     tail = t * F.exp(-x * x + poly)
     return F.when(x >= 0, 1 - tail).otherwise(tail - 1)
 
 
+def erf_of(x: float) -> float:
+    """erf of a number."""
+    t, poly = 1 / (1 + 0.5 * abs(x)), ERFC[-1]
+    for c in reversed(ERFC[:-1]):
+        poly = c + t * poly
+    tail = t * math.exp(-x * x + poly)
+    return 1 - tail if x >= 0 else tail - 1
+
+
 def wrap(angle: Column, period: float = TWO_PI) -> Column:
     """Into [0, period)."""
     return F.pmod(angle, F.lit(float(period)))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import erf, signed_log
+from ..functions.scalars import erf, erf_of, signed_log
 from ..sources.tables import lcg
 
 
@@ -80,33 +84,39 @@ def signed_ranks(rows: DataFrame, keys=("tid",)) -> DataFrame:
     return out.select(*k, "n", "w_plus", "w_minus", ((F.col("w_plus") - F.col("w_minus")) / F.sqrt(F.nullif("s2", F.lit(0.0)))).alias("z"))
 
 
+def rank_measures(d: np.ndarray) -> dict:
+    """signed_ranks of one group's rounded differences."""
+    rank = pd.Series(np.abs(d)).rank().to_numpy()
+    plus, minus, s2 = float(rank[d > 0].sum()), float(rank[d < 0].sum()), float((rank[d != 0] ** 2).sum())
+    return {"n": int((d != 0).sum()), "w_plus": plus, "w_minus": minus, "z": (plus - minus) / math.sqrt(s2) if s2 else math.nan}
+
+
+def exact_p(d: np.ndarray) -> float:
+    """exact_signed_rank_p of one group's rounded differences."""
+    order = pd.Series(np.abs(d)).rank().to_numpy()
+    ranks = np.rint(2 * order[d != 0]).astype(int)
+    if not len(ranks):
+        return 1.0
+    counts = np.ones(1)
+    for x in ranks:
+        shifted = np.zeros(len(counts) + x)
+        shifted[x:] = counts
+        shifted[: len(counts)] += counts
+        counts = shifted / 2
+    at = int(ranks[d[d != 0] > 0].sum())
+    return min(1.0, 2 * min(counts[: at + 1].sum(), counts[at:].sum()))
+
+
 def exact_signed_rank_p(rows: DataFrame, keys=("tid",)) -> DataFrame:
     """keys, p_exact: the two-sided exact p of the signed-rank statistic, by convolution of the doubled ranks."""
-    import numpy as np
-    import pandas as pd
-
     from .patches import grouped
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf["d"].to_numpy()
-        order = pd.Series(np.abs(d)).rank().to_numpy()
-        ranks = np.rint(2 * order[d != 0]).astype(int)
-        if not len(ranks):
-            return pd.DataFrame({"p_exact": [1.0]})
-        counts = np.ones(1)
-        for x in ranks:
-            shifted = np.zeros(len(counts) + x)
-            shifted[x:] = counts
-            shifted[: len(counts)] += counts
-            counts = shifted / 2
-        at = int(ranks[d[d != 0] > 0].sum())
-        return pd.DataFrame({"p_exact": [min(1.0, 2 * min(counts[: at + 1].sum(), counts[at:].sum()))]})
-
     k = list(keys)
     delta = rows.where("t1 is not null and t2 is not null").select(*k, F.round(F.col("t1") + F.col("t2"), 9).alias("d"))
-    return grouped(delta, k, kernel, "p_exact double")
+    return grouped(delta, k, lambda pdf: pd.DataFrame({"p_exact": [exact_p(pdf["d"].to_numpy())]}), "p_exact double")
 
 
+@lru_cache(maxsize=4096)
 def t_quantile(p: float, n: int) -> float:
     """The quantile p > 0.5 of Student's t with n degrees of freedom, by bisection of the finite series of its distribution."""
 
@@ -141,6 +151,16 @@ def retro_power(rows: DataFrame, keys=("tid",), effect: float = 0.2, level: floa
     return s.where("s > 0").select(*keys, "n", (1 - (1 + erf(x)) / 2).alias("power"))
 
 
+def power_measures(d: np.ndarray, effect: float = 0.2, level: float = 0.95) -> dict:
+    """retro_power of one group's differences; empty where it has no row."""
+    n = len(d)
+    if n < 2 or np.ptp(d) == 0:
+        return {}
+    s = float(d.std(ddof=1))
+    x = (t_quantile(level, n) - effect * math.sqrt(n) / s) / (math.sqrt(2) * s)
+    return {"n": n, "power": 1 - (1 + erf_of(x)) / 2}
+
+
 def _normal_quantile(p: float) -> float:
     from statistics import NormalDist
 
@@ -153,8 +173,6 @@ def optimal_block(x, most: int | None = None) -> float:
     Autocorrelations count up to twice the first lag behind which K of them in a row are insignificant, with a flat-top
     window; the length is between 1 and min(3 sqrt(n), n / 3).
     """
-    import numpy as np
-
     x = np.asarray(x, float)
     n = len(x)
     if n < 4 or x.std() == 0:
@@ -182,7 +200,71 @@ def optimal_block(x, most: int | None = None) -> float:
     return float(min(max(1.0, (2 * g * g / d_sb) ** (1 / 3) * n ** (1 / 3)), most or b_max))
 
 
-def advancement_tests(rows: DataFrame, replicates: int = 100_000, levels: tuple[float, ...] = (0.95, 0.99, 0.999), keys=("tid",), seed: int = 123) -> DataFrame:
+TEST_LEVELS = (0.95, 0.99, 0.999)
+REPLICATES = 100_000
+
+
+def _draws(n: int, length: float, replicates: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places that the replicates of n rows take, some replicates at a time: iid ones, and blocks of a mean length."""
+    rng = np.random.default_rng(seed)
+    for begin in range(0, replicates, 2000):
+        size = (min(2000, replicates - begin), n)
+        iid = rng.integers(0, n, size)
+        # a new block begins with a chance of 1 / length; otherwise the next place follows, around the end
+        fresh = rng.random(size) < 1 / length
+        fresh[:, 0] = True
+        place = rng.integers(0, n, size)
+        since = np.maximum.accumulate(np.where(fresh, np.arange(n), 0), axis=1)
+        yield iid, (np.take_along_axis(place, since, 1) + np.arange(n) - since) % n
+
+
+#: The draws depend on nothing but these numbers, so that groups of one size share them: 10 MB for 50 rows, 13 at most.
+KEEP_ROWS = 64
+
+
+@lru_cache(maxsize=12)
+def _kept_draws(n: int, length: float, replicates: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(iid.astype(np.uint8), dep.astype(np.uint8)) for iid, dep in _draws(n, length, replicates, seed)]
+
+
+def bootstrap_measures(x: np.ndarray, replicates: int = REPLICATES, levels: tuple[float, ...] = TEST_LEVELS, seed: int = 123) -> dict:
+    """advancement_tests of one group's differences, in the order of r."""
+    n = len(x)
+    out: dict = {"n": n} | dict.fromkeys(_test_names(levels), math.nan)
+    t0 = float(x.mean())
+    out["t0"] = t0
+    if n < 2 or x.std() == 0:
+        return out
+    length = float(max(1, min(n, round(optimal_block(x)))))
+    out["bstar"] = length
+    keep = n <= KEEP_ROWS and replicates <= REPLICATES
+    means = [(x[iid].mean(1), x[dep].mean(1)) for iid, dep in (_kept_draws if keep else _draws)(n, length, replicates, seed)]
+    left = np.array([(x.sum() - v) / (n - 1) for v in x])  # without one row each
+    gap = left.mean() - left
+    accel = float((gap**3).sum() / (6 * max(1e-300, (gap**2).sum()) ** 1.5))
+    for p, parts in zip(("iid", "dep"), zip(*means, strict=True), strict=True):
+        t = np.concatenate(parts)
+        z0 = _normal_quantile(float((t < t0).mean()) if (t < t0).any() else 0.5 / len(t))
+        ends = [e for level in levels for e in ((1 - level) / 2, (1 + level) / 2)]
+        if p == "iid":
+            z = [z0 + _normal_quantile(a) for a in ends]
+            ends = [0.5 * (1 + math.erf((z0 + v / (1 - accel * v)) / math.sqrt(2))) for v in z]
+        limits = np.quantile(t, ends).reshape(-1, 2)
+        for level, (low, high) in zip(levels, limits, strict=True):
+            out[f"{p}_low_{round(1000 * level)}"], out[f"{p}_high_{round(1000 * level)}"] = low, high
+        held = [low <= 1e-9 < high for low, high in limits]
+        beyond = [level for level, h in zip(levels, held, strict=True) if not h]
+        other = (t <= 1e-9) if t0 > 1e-9 else (t >= -1e-9) if t0 < -1e-9 else np.ones(len(t), bool)
+        out |= {f"{p}_mean": t.mean(), f"{p}_bias": t.mean() - t0, f"{p}_se": t.std(ddof=1), f"{p}_ci0_p": 1 - max(beyond, default=0.0), f"{p}_freq_p": other.mean()}
+    return out
+
+
+def _test_names(levels: tuple[float, ...]) -> list[str]:
+    tail = [f"{p}_{side}_{round(1000 * x)}" for p in ("iid", "dep") for x in levels for side in ("low", "high")]
+    return ["t0", "bstar", *(f"{p}_{x}" for p in ("iid", "dep") for x in ("mean", "bias", "se", "ci0_p", "freq_p")), *tail]
+
+
+def advancement_tests(rows: DataFrame, replicates: int = REPLICATES, levels: tuple[float, ...] = TEST_LEVELS, keys=("tid",), seed: int = 123) -> DataFrame:
     """Two bootstraps of the mean difference t1 + t2 of a group's rows, in the order of r; a group is one band.
 
     keys, n, t0; for iid: mean, bias and se of the replicates, bias-corrected and accelerated limits at each level, ci0_p
@@ -191,54 +273,11 @@ def advancement_tests(rows: DataFrame, replicates: int = 100_000, levels: tuple[
     rounded from optimal_block(), and percentile limits.  Rows with a missing difference are left out; groups of fewer
     than two differences or without spread have t0 only.
     """
-    import numpy as np
-    import pandas as pd
-
     from .patches import grouped
 
-    tail = [f"{p}_{side}_{round(1000 * x)}" for p in ("iid", "dep") for x in levels for side in ("low", "high")]
-    names = ["t0", "bstar", *(f"{p}_{x}" for p in ("iid", "dep") for x in ("mean", "bias", "se", "ci0_p", "freq_p")), *tail]
-
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("r", kind="stable")["delta"].to_numpy(float)
-        n, rng = len(x), np.random.default_rng(seed)
-        out: dict = {"n": n} | dict.fromkeys(names, math.nan)
-        t0 = float(x.mean())
-        out["t0"] = t0
-        if n < 2 or x.std() == 0:
-            return pd.DataFrame([out])
-        length = float(max(1, min(n, round(optimal_block(x)))))
-        out["bstar"] = length
-        draws: dict[str, list] = {"iid": [], "dep": []}
-        for begin in range(0, replicates, 2000):
-            size = (min(2000, replicates - begin), n)
-            draws["iid"].append(x[rng.integers(0, n, size)].mean(1))
-            # a new block begins with a chance of 1 / length; otherwise the next place follows, around the end
-            fresh = rng.random(size) < 1 / length
-            fresh[:, 0] = True
-            place = rng.integers(0, n, size)
-            since = np.maximum.accumulate(np.where(fresh, np.arange(n), 0), axis=1)
-            draws["dep"].append(x[(np.take_along_axis(place, since, 1) + np.arange(n) - since) % n].mean(1))
-        left = np.array([(x.sum() - v) / (n - 1) for v in x])  # without one row each
-        gap = left.mean() - left
-        accel = float((gap**3).sum() / (6 * max(1e-300, (gap**2).sum()) ** 1.5))
-        for p, parts in draws.items():
-            t = np.concatenate(parts)
-            z0 = _normal_quantile(float((t < t0).mean()) if (t < t0).any() else 0.5 / len(t))
-            held = []
-            for level in levels:
-                ends = [(1 - level) / 2, (1 + level) / 2]
-                if p == "iid":
-                    z = [z0 + _normal_quantile(a) for a in ends]
-                    ends = [0.5 * (1 + math.erf((z0 + v / (1 - accel * v)) / math.sqrt(2))) for v in z]
-                low, high = np.quantile(t, ends)
-                out[f"{p}_low_{round(1000 * level)}"], out[f"{p}_high_{round(1000 * level)}"] = low, high
-                held.append(low <= 1e-9 < high)
-            beyond = [level for level, h in zip(levels, held, strict=True) if not h]
-            other = (t <= 1e-9) if t0 > 1e-9 else (t >= -1e-9) if t0 < -1e-9 else np.ones(len(t), bool)
-            out |= {f"{p}_mean": t.mean(), f"{p}_bias": t.mean() - t0, f"{p}_se": t.std(ddof=1), f"{p}_ci0_p": 1 - max(beyond, default=0.0), f"{p}_freq_p": other.mean()}
-        return pd.DataFrame([out])
+        return pd.DataFrame([bootstrap_measures(pdf.sort_values("r", kind="stable")["delta"].to_numpy(float), replicates, levels, seed)])
 
     k = list(keys)
     delta = rows.where("t1 is not null and t2 is not null").select(*k, "r", (F.col("t1") + F.col("t2")).alias("delta"))
-    return grouped(delta, k, kernel, ", ".join(["n long", *(f"{x} double" for x in names)]))
+    return grouped(delta, k, kernel, ", ".join(["n long", *(f"{x} double" for x in _test_names(levels))]))

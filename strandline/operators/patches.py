@@ -86,6 +86,18 @@ def percolation_patch(cells: DataFrame, layer: str, step: float, keys=("tid",))
     return wide.join(holds, [*keys, "patch_id"], "left_semi").select(*keys, "r", "c")
 
 
+def percolated(r: np.ndarray, c: np.ndarray, step: float, n_cols: int = 64) -> np.ndarray:
+    """percolation_patch of one group's cells: which of them it holds."""
+    root = label(r, c, ROOK)
+    size, name = np.bincount(root, minlength=len(r)), np.full(len(r), np.iinfo(np.int64).max)
+    np.minimum.at(name, root, (r.astype(np.int64) - 1) * n_cols + c)
+    core = root == min(np.nonzero(size == size.max())[0], key=lambda i: name[i])
+    if step <= 1:
+        return core
+    wide = label(r, c, disc(step))
+    return np.isin(wide, wide[core])
+
+
 def human_footprint(cells: DataFrame, layer: str = "excl", keys=("tid",), n_rows: int = 50, n_cols: int = 64, res_m: float = 30.0) -> DataFrame:
     """Share of the area, place of the densest column, and the extent of the largest queen patch as shares of the band."""
     area = cells.groupBy(*keys).agg((F.count(layer) / float(n_rows * n_cols)).alias("area_fraction"))
